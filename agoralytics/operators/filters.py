@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.config import (
@@ -51,19 +51,19 @@ def detect_language(
     tokens = F.regexp_extract_all(
         F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(rf"[{tx.WORD}]+"), F.lit(0)
     )
-    votes = [
+    def votes(lang: str) -> Column:
+        known = sorted(stop_words[lang])
+        return F.size(F.filter("_tokens", lambda t: t.isin(*known)))
+
+    ballots = [
         F.struct(
-            F.size(
-                F.filter("_tokens", lambda t, known=sorted(stop_words[lang]): t.isin(*known))
-            ).alias("votes"),
-            F.lit(-rank).alias("rank"),
-            F.lit(lang).alias("language"),
+            votes(lang).alias("votes"), F.lit(-rank).alias("rank"), F.lit(lang).alias("language")
         )
         for rank, lang in enumerate(sorted(stop_words))
     ]
     return (
         df.withColumn("_tokens", tokens)
-        .withColumn("_best", F.array_max(F.array(*votes)))
+        .withColumn("_best", F.array_max(F.array(*ballots)))
         .withColumn(
             name,
             F.when(F.col("_best.votes") > 0, F.col("_best.language")).otherwise("unknown"),

@@ -93,13 +93,15 @@ def lexicon_scores(
     if len(set(names)) < len(names):
         raise ValueError("category names must be unique")
     matched = match_tokens(tokens(texts, key, column), entries, broadcast_entries)
-    counts = matched.filter("cat_ids is not null").groupBy(key).agg(
-        *[
-            F.sum(F.size(F.filter("cat_ids", lambda c, cat_id=cat_id: c == cat_id))).alias(
-                f"_hits{cat_id}"
-            )
-            for cat_id in categories
-        ]
+
+    def hits(cat_id: int) -> Column:
+        listed = F.size(F.filter("cat_ids", lambda c: c == cat_id))
+        return F.sum(listed).alias(f"_hits{cat_id}")
+
+    counts = (
+        matched.filter("cat_ids is not null")
+        .groupBy(key)
+        .agg(*[hits(cat_id) for cat_id in categories])
     )
     total = texts.select(key, tx.word_count(column).alias("WC"))
     return total.join(counts, key, "left").select(

@@ -65,18 +65,17 @@ def gazetteer_terms(
     found = texts.select(
         key, F.regexp_extract_all(column, F.lit(rf"[{tx.WORD}]+"), F.lit(0)).alias("_words")
     )
-    runs = [
-        F.when(
-            F.size("_words") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size("_words") - (n - 1)),
-                lambda i, n=n: F.array_join(F.slice("_words", i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in name_words
-    ]
+    def runs(n: int) -> Column:
+        joined = F.transform(
+            F.sequence(F.lit(1), F.size("_words") - (n - 1)),
+            lambda i: F.array_join(F.slice("_words", i, n), " "),
+        )
+        return F.when(F.size("_words") >= n, joined).otherwise(
+            F.array().cast("array<string>")
+        )
+
     return (
-        found.select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("term"))
+        found.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in name_words]))).alias("term"))
         .join(gazetteer.select("term", "type"), "term")
         .select(key, "term", "type")
     )
