@@ -6,10 +6,12 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from agoralytics.functions.text import WORD
 from agoralytics.operators import filters, labels, mapping, threads
 from agoralytics.operators import reports as rp
+from agoralytics.session import cut_lineage
 from agoralytics.sources import views
 from agoralytics.sources.forum import ForumTables
 
@@ -60,11 +62,21 @@ class Stages:
 
     @cached_property
     def structured(self) -> DataFrame:
-        return threads.thread_structure(self.themed)
+        """Thread structure over the narrow columns, written once before it branches."""
+        narrow = self.themed.select(
+            "message_id", "topic_id", "poster_id", "post_date", "doc_id", "group_name"
+        )
+        return threads.thread_structure(cut_lineage(narrow))
+
+    @cached_property
+    def structured_text(self) -> DataFrame:
+        """The same with the texts, which are fetched for the rows that are left."""
+        texts = self.table("documents").select("doc_id", F.col("text").alias("message_text"))
+        return self.structured.join(texts, "doc_id")
 
     @cached_property
     def normalized(self) -> DataFrame:
-        return threads.normalize_messages(self.structured)
+        return threads.normalize_messages(self.structured_text)
 
     @cached_property
     def annotated(self) -> DataFrame:

@@ -76,12 +76,12 @@ def term_search(spark, folder):
 
 
 def short_initial_posts(spark, folder):
-    s = Stages(spark, folder).structured
+    s = Stages(spark, folder).structured_text
     return filters.short_messages(s, True, max_words=20).select("message_id", "topic_id", "word_count")
 
 
 def short_messages(spark, folder):
-    s = Stages(spark, folder).structured
+    s = Stages(spark, folder).structured_text
     return filters.short_messages(s, False, limit=30, max_words=20).select(
         "message_id", "topic_id", "word_count"
     )

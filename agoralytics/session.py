@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only where none is configured and the session runs in one local JVM (tests)
+    is one made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if not _local_folder:
+            _local_folder.append(tempfile.TemporaryDirectory(prefix="agoralytics-"))
+        folder = _local_folder[0].name
+    return folder
+
+
+_local_folder: list[tempfile.TemporaryDirectory] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+    """Writes the rows to the shared folder and goes on from there.
 
-    Only where no folder is configured and the session runs in one local JVM
-    (tests) is one made.
+    A lost executor then costs no recomputation of what came before, numbers that
+    depend on the partitioning stay as they are, and readers take only the
+    columns they need.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="agoralytics-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{scratch_folder(spark)}/agoralytics-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

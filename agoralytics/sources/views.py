@@ -51,9 +51,9 @@ def forum_tables(spark: SparkSession, folder: str) -> ForumTables:
         (F.lit(2) + F.col("n_regionkey") % 2).cast("long").alias("account_id"),
         F.col("n_name").alias("group_name"),
     ).unionByName(
-        spark.createDataFrame(
-            [(100, 1, "TEST"), (101, 4, "DEMO")],
-            "group_id long, account_id long, group_name string",
+        spark.sql(
+            "SELECT * FROM VALUES (100L, 1L, 'TEST'), (101L, 4L, 'DEMO') "
+            "AS g(group_id, account_id, group_name)"
         )
     )
     return ForumTables(messages, topics, groups)
