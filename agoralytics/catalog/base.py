@@ -82,6 +82,11 @@ class Stages:
     def annotated(self) -> DataFrame:
         return views.annotated(self.structured, self.table("labels"))
 
+    @cached_property
+    def annotated_text(self) -> DataFrame:
+        texts = self.table("documents").select("doc_id", F.col("text").alias("message_text"))
+        return threads.normalize_messages(self.annotated.join(texts, "doc_id"))
+
     @cached_property
     def thread_labels(self) -> DataFrame:
         return labels.thread_labels(self.annotated, self.structured)
@@ -209,6 +214,9 @@ _STAGES = {
                CASE WHEN quality <> 1 THEN 'N/A' WHEN doc_id % 3 = 0 THEN 'informational'
                     WHEN doc_id % 3 = 1 THEN 'emotional' ELSE 'other' END AS support_type
         FROM structured r JOIN labels USING (doc_id) WHERE NOT is_initial_post""",
+    "annotated_text": """
+        SELECT a.*, coalesce(d.text_normalized, '') AS text_normalized
+        FROM annotated a LEFT JOIN doc_normalized d USING (doc_id)""",
     "thread_labels": """
         SELECT s.topic_id,
                CASE WHEN coalesce(l.any_ss, FALSE) THEN 'successful' ELSE 'unsuccessful' END

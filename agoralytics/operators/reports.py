@@ -105,7 +105,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), digits: int = 1)
     total = F.sum(n)
     mean = F.sum(v * n) / total
     spread = F.sum(v.cast("double") * v * n) - F.sum(v * n).cast("double") * mean
-    quartiles = F.percentile(value, [0.25, 0.5, 0.75], "_n")
+    quartiles = F.percentile(value, [0.25, 0.5, 0.75], F.col("_n"))
     table = counts.groupBy(*by).agg(
         total.alias("count"),
         mean.alias("mean"),
@@ -135,7 +135,7 @@ def length_quantiles(
         .agg(F.count("*").alias("_n"))
     )
     q = counts.groupBy("role").agg(
-        F.percentile("wc", [0.05, 0.25, 0.5, 0.75, 0.95], "_n").alias("_q"),
+        F.percentile("wc", [0.05, 0.25, 0.5, 0.75, 0.95], F.col("_n")).alias("_q"),
         F.coalesce(F.sum(F.when(F.col("wc") < short, F.col("_n"))), F.lit(0)).alias("short_messages"),
     )
     names = ("p05", "p25", "p50", "p75", "p95")
@@ -383,6 +383,6 @@ def low_word_groups(messages: DataFrame, most: float = 4.0) -> DataFrame:
     )
     return (
         counts.groupBy("group_name")
-        .agg(F.percentile("wc", 0.5, "_n").alias("median_word_count"))
+        .agg(F.percentile("wc", 0.5, F.col("_n")).alias("median_word_count"))
         .filter(F.col("median_word_count") <= most)
     )
