@@ -90,7 +90,7 @@ def nearest_vectors(points: DataFrame, count: int, k: int, leaf: int = LEAF) ->
     on how points crowd, and a visit returns at most k rows.
     """
     if count <= leaf:
-        return points.groupBy(F.lit(0)).applyInPandas(
+        return points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
             lambda frame: _all_nearest(frame, frame, k), _PAIR
         )
 

@@ -108,17 +108,17 @@ class _TfidfLogistic:
             inputCol="_terms", outputCol="_counts", vocabSize=self.vocabulary
         )
         terms = Pipeline(stages=[tokens, pairs, joined, counts]).fit(train)
-        counted = terms.transform(train)
+        # The counts are read once by the idf and often by the regression.
+        counted = cut_lineage(terms.transform(train).select("target", "_counts"))
         # Spark's idf has no "+ 1", so the weights are set by hand.
         idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted).idf.toArray() + 1.0
         scale = ElementwiseProduct(
             scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_scaled"
         )
         unit = Normalizer(inputCol="_scaled", outputCol="_unit")
-        ready = PipelineModel(stages=[*terms.stages, scale, unit])
-        rows = with_weights(ready.transform(train), "target")
-        model = _logistic(rows.count(), "_unit", 1000, standardize=False).fit(rows)
-        return PipelineModel(stages=[*ready.stages, model])
+        rows = with_weights(unit.transform(scale.transform(counted)), "target")
+        model = _logistic(counted.count(), "_unit", 1000, standardize=False).fit(rows)
+        return PipelineModel(stages=[*terms.stages, scale, unit, model])
 
 
 def _logistic(
@@ -130,6 +130,7 @@ def _logistic(
         labelCol="target",
         weightCol="weight",
         maxIter=iterations,
+        tol=1e-5,
         regParam=1.0 / (c * max(rows, 1)),
         elasticNetParam=0.0,
         standardization=standardize,
@@ -148,7 +149,7 @@ def estimator(name: str, rows: int, text: str = "text_normalized", c: float = 1.
     if name == SVM:
         svm = LinearSVC(
             featuresCol="scaled", labelCol="target", weightCol="weight",
-            maxIter=200, regParam=1.0 / (c * max(rows, 1)), standardization=False,
+            maxIter=100, tol=1e-4, regParam=1.0 / (c * max(rows, 1)), standardization=False,
         )
         return Pipeline(stages=[scaled, svm])
     if name == FOREST:

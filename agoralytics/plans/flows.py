@@ -23,6 +23,7 @@ from agoralytics.functions import text as tx
 from agoralytics.functions.values import parse_date
 from agoralytics.operators import filters, labels, mapping, models, privacy, reports, sampling, threads
 from agoralytics.operators.features import feature_columns, feature_table
+from agoralytics.operators.lexicon import lexicon_scores
 from agoralytics.operators.metrics import confusion_matrix, subgroup_f1
 from agoralytics.operators.split import user_split
 from agoralytics.session import cut_lineage
@@ -183,13 +184,20 @@ class ModelReport:
 
 
 def labelled_features(
-    structured: DataFrame,
-    thread_labels: DataFrame,
-    scores: DataFrame | None = None,
+    posts: DataFrame,
+    entries: DataFrame | None = None,
+    categories: Mapping[int, str] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """Feature table of the labelled threads with their part of the split."""
-    posts = labels.labelled_threads(structured, thread_labels)
+    """Feature table of labelled first posts with their part of the split.
+
+    Without a dictionary there are structural features only. Posts are written
+    once, because features and lexicon scores both read them.
+    """
+    posts = cut_lineage(posts)
+    scores = None
+    if entries is not None:
+        scores = lexicon_scores(posts, entries, categories or {})
     return user_split(feature_table(posts, scores), seed=seed)
 
 

@@ -9,8 +9,18 @@ from agoralytics.operators.threads import replies
 from agoralytics.sources.forum import ForumTables
 
 
+# Tables with long texts and their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table. Texts that come in fewer files than there are cores are spread
+    once, or all work on them would run in one task; a large table is left alone."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and len(rows.inputFiles()) < cores:
+        rows = rows.repartition(cores, TEXT_TABLES[name])
+    return rows
 
 
 def forum_tables(spark: SparkSession, folder: str) -> ForumTables:
