@@ -8,6 +8,7 @@ from agoralytics.catalog.base import Stages, hash_sql, oracle, tokens_sql, unit_
 from agoralytics.catalog.lexicons import _TABLES, CATEGORIES, _entries
 from agoralytics.functions import text as tx
 from agoralytics.operators import features, lexicon, metrics, reports, split, threads
+from agoralytics.session import cut_lineage
 
 VOCABULARY = 500
 
@@ -18,7 +19,9 @@ def structural_features(spark, folder):
 
 
 def feature_table(spark, folder):
-    posts = Stages(spark, folder).labelled
+    posts = cut_lineage(
+        Stages(spark, folder).labelled.select("topic_id", "thread_label", "text_normalized")
+    )
     scores = lexicon.lexicon_scores(posts, _entries(spark), CATEGORIES)
     table = features.feature_table(posts, scores)
     return table.select("topic_id", *features.feature_columns(table))

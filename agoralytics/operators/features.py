@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoralytics.config import SELECTED_FEATURES, TOP_LEVEL_CATEGORIES
@@ -127,24 +127,48 @@ def anova_scores(
     )
 
 
-def term_counts(
-    texts: DataFrame, key: str, column: str = "text_normalized"
-) -> DataFrame:
-    """(key, term, n): words of two or more characters, and pairs of neighbours."""
+def terms(column: str) -> Column:
+    """Array of the words of two or more characters and of pairs of neighbours."""
     tokens = F.regexp_extract_all(
         F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(rf"[{tx.WORD}]{{2,}}"), F.lit(0)
     )
-    pairs = F.zip_with(
-        "_tokens",
-        F.slice("_tokens", 2, F.greatest(F.size("_tokens"), F.lit(1))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
+    return F.transform(
+        F.array(tokens),
+        lambda t: F.concat(
+            t,
+            F.filter(
+                F.zip_with(
+                    t,
+                    F.slice(t, 2, F.greatest(F.size(t), F.lit(1))),
+                    lambda a, b: F.concat(a, F.lit(" "), b),
+                ),
+                lambda pair: pair.isNotNull(),
+            ),
+        ),
+    )[0]
+
+
+def vocabulary(texts: DataFrame, column: str, size: int) -> DataFrame:
+    """(term, total, texts) of the `size` most frequent terms.
+
+    Equally frequent terms are taken in alphabetical order. What is shuffled are
+    counts per term, added up before; never the terms of single texts.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    in_text = F.concat(
+        F.transform("_terms", lambda t: F.struct(t.alias("term"), one.alias("n"), none.alias("d"))),
+        F.transform(
+            F.array_distinct("_terms"),
+            lambda t: F.struct(t.alias("term"), none.alias("n"), one.alias("d")),
+        ),
     )
     return (
-        texts.select(key, tokens.alias("_tokens"))
-        .select(key, F.explode(F.concat("_tokens", pairs)).alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("n"))
+        texts.select(terms(column).alias("_terms"))
+        .select(F.inline(in_text))
+        .groupBy("term")
+        .agg(F.sum("n").alias("total"), F.sum("d").alias("texts"))
+        .orderBy(F.col("total").desc(), "term")
+        .limit(size)
     )
 
 
@@ -152,27 +176,23 @@ def tfidf_terms(
     texts: DataFrame,
     key: str,
     column: str = "text_normalized",
-    vocabulary: int = 5000,
+    size: int = 5000,
 ) -> DataFrame:
     """(key, term, weight) over the most frequent words and word pairs.
 
     weight = n * (ln((1 + texts) / (1 + texts with the term)) + 1), scaled to
-    length 1 per text. The vocabulary has at most `vocabulary` rows and is
-    broadcast; equally frequent terms are taken in alphabetical order.
+    length 1 per text. The vocabulary has at most `size` rows and is broadcast;
+    other terms are dropped before anything is shuffled. A text has at most
+    `size` terms, so the window is small.
     """
-    counts = term_counts(texts, key, column)
-    top = (
-        counts.groupBy("term")
-        .agg(F.sum("n").alias("_all"), F.count("*").alias("_texts"))
-        .orderBy(F.col("_all").desc(), "term")
-        .limit(vocabulary)
-    )
-    size = texts.agg(F.count("*")).scalar()
-    idf = F.log((1 + size) / (1 + F.col("_texts"))) + 1
-    weighted = counts.join(F.broadcast(top), "term").select(
-        key, "term", (F.col("n") * idf).alias("_w")
-    )
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, key).select(
-        key, "term", (F.col("_w") / F.col("_norm")).alias("weight")
+    known = vocabulary(texts, column, size)
+    all_texts = texts.agg(F.count("*")).scalar()
+    idf = F.log((1 + all_texts) / (1 + F.col("texts"))) + 1
+    weighted = (
+        texts.select(key, F.explode(terms(column)).alias("term"))
+        .join(F.broadcast(known.select("term", idf.alias("_idf"))), "term")
+        .groupBy(key, "term")
+        .agg((F.count("*") * F.first("_idf")).alias("_w"))
     )
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("_w") / norm).alias("weight"))

@@ -24,12 +24,8 @@ def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tokens(texts: DataFrame, key: str, column: str) -> DataFrame:
     """(key, token): lower-case words without punctuation, empty ones left out."""
-    word = F.regexp_replace("word", rf"[^{tx.WORD}]", "")
-    return (
-        texts.select(key, F.explode(tx.words(F.lower(F.col(column)))).alias("word"))
-        .select(key, word.alias("token"))
-        .filter("token != ''")
-    )
+    bare = F.regexp_replace(F.lower(F.col(column)), rf"(?U)[^{tx.WORD}{tx.SPACE}]+", "")
+    return texts.select(key, F.explode(tx.words(bare)).alias("token"))
 
 
 def match_tokens(

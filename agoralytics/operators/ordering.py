@@ -27,11 +27,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     )
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def join_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Joins a table of one row per hot key; missing keys equal each other.
+
+    Hot keys are few by their definition, so their table is broadcast.
+    """
+    renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
+    return df.join(F.broadcast(renamed), condition, how).drop(*[f"_hot_{k}" for k in keys])
 
 
 def position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -76,16 +81,14 @@ def number_rows(
 
     hot = cut_lineage(hot)
     columns = df.columns
-    cold_rows = df.join(
-        F.broadcast(hot), same_keys(df, hot, keys), "left_anti"
-    ).withColumn(name, number)
-    hot_rows_df = df.join(F.broadcast(hot), same_keys(df, hot, keys), "left_semi")
+    cold_rows = join_hot(df, hot, keys, "left_anti").withColumn(name, number)
     placed = position(
-        hot_rows_df, [F.col(k).asc() for k in keys] + list(order), "_position"
+        join_hot(df, hot, keys, "left_semi"),
+        [F.col(k).asc() for k in keys] + list(order),
+        "_position",
     )
     firsts = placed.groupBy(*keys).agg(F.min("_position").alias("_first"))
-    numbered = (
-        placed.join(F.broadcast(firsts), same_keys(placed, firsts, keys))
-        .select(*[placed[c] for c in columns], (F.col("_position") - F.col("_first")).alias(name))
+    numbered = join_hot(placed, firsts, keys, "inner").select(
+        *columns, (F.col("_position") - F.col("_first")).alias(name)
     )
     return cold_rows.unionByName(numbered)

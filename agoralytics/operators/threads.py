@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agoralytics.config import HOT_ROWS
 from agoralytics.functions import text as tx
 from agoralytics.functions.values import by_date, date_rank
-from agoralytics.operators.ordering import hot_keys, number_rows, same_keys
+from agoralytics.operators.ordering import hot_keys, join_hot, number_rows
 from agoralytics.session import cut_lineage
 
 
@@ -36,9 +36,7 @@ def thread_structure(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
         rows = by_window(messages)
     else:
         hot = cut_lineage(hot)
-        is_hot = same_keys(messages, hot, ["topic_id"])
-        cold_rows = messages.join(F.broadcast(hot), is_hot, "left_anti")
-        hot_messages = messages.join(F.broadcast(hot), is_hot, "left_semi")
+        hot_messages = join_hot(messages, hot, ["topic_id"], "left_semi")
         totals = hot_messages.groupBy("topic_id").agg(
             F.min_by("poster_id", date_rank()).alias("first_poster_id"),
             (F.count("*") - 1).alias("reply_count"),
@@ -46,10 +44,9 @@ def thread_structure(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
         numbered = number_rows(
             hot_messages, ["topic_id"], by_date(), "reply_index", hot_rows
         )
-        joined = numbered.join(
-            F.broadcast(totals), same_keys(numbered, totals, ["topic_id"])
-        ).select(*[numbered[c] for c in numbered.columns], "first_poster_id", "reply_count")
-        rows = by_window(cold_rows).unionByName(joined)
+        rows = by_window(join_hot(messages, hot, ["topic_id"], "left_anti")).unionByName(
+            join_hot(numbered, totals, ["topic_id"], "inner")
+        )
     return rows.withColumn("is_initial_post", F.col("reply_index") == 0).withColumn(
         "thread_has_replies", F.col("reply_count") > 0
     )

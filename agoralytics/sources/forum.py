@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from agoralytics.config import COLUMN_NAMES
 from agoralytics.functions.values import id_number, parse_date
 
-BAD_LINE = "_bad_line"
+EXTRA_FIELD = "_extra_field"
 
 # Ids and dates are read as text and cast afterwards, because `12.0` is a valid id
 # and a bad date must become NULL.
@@ -33,45 +33,31 @@ class ForumTables:
         return replace(self, messages=messages)
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    skip_bad_lines: bool = False,
-    multi_line: bool = True,
-) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns of a CSV file, or of a folder of them, as text.
 
-    Lines that do not fit the header are kept, with the line in `_bad_line`, or
-    skipped. With line breaks inside quotes a file is read by one task, so a large
-    dump should come as many files; without any, set multi_line to False and
-    files are split.
+    A line with more fields than the header has a value in `_extra_field`; a
+    shorter line is fine. With line breaks inside quotes a file is read by one
+    task, so a large dump should come as many files; without any, set multi_line
+    to False and files are split.
     """
     options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": "UTF-8"}
     header = spark.read.options(**options, inferSchema=False).csv(path).columns
-    fields = [T.StructField(name, T.StringType()) for name in header]
-    reader = spark.read.options(**options)
-    if skip_bad_lines:
-        return reader.schema(T.StructType(fields)).option("mode", "DROPMALFORMED").csv(path)
-    fields.append(T.StructField(BAD_LINE, T.StringType()))
-    return (
-        reader.schema(T.StructType(fields))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_LINE)
-        .csv(path)
-    )
+    fields = [T.StructField(name, T.StringType()) for name in [*header, EXTRA_FIELD]]
+    return spark.read.options(**options).schema(T.StructType(fields)).csv(path)
 
 
 def bad_lines(raw: DataFrame) -> DataFrame:
-    """The lines that did not fit, for a warning report."""
-    return raw.filter(F.col(BAD_LINE).isNotNull()).select(BAD_LINE)
+    """The lines with too many fields, for a warning report."""
+    return raw.filter(F.col(EXTRA_FIELD).isNotNull())
 
 
 def typed(raw: DataFrame) -> DataFrame:
-    """Our column names and types for a table read from the dump."""
+    """Our column names and types for a table read from the dump, bad lines left out."""
     columns = []
     for column in raw.columns:
         name = COLUMN_NAMES.get(column, column)
-        if column == BAD_LINE:
+        if column == EXTRA_FIELD:
             continue
         if name in _IDS:
             columns.append(id_number(column).alias(name))
@@ -79,7 +65,7 @@ def typed(raw: DataFrame) -> DataFrame:
             columns.append(parse_date(column).alias(name))
         else:
             columns.append(F.col(column).alias(name))
-    return raw.select(*columns)
+    return raw.filter(F.col(EXTRA_FIELD).isNull()).select(*columns)
 
 
 def read_forum(
@@ -92,10 +78,7 @@ def read_forum(
     """
     names = ["topics", "groups", "accounts"]
     tables = {name: typed(read_csv(spark, f"{folder}/{name}.csv")) for name in names}
-    if integrated_messages is None:
-        messages = typed(read_csv(spark, f"{folder}/messages.csv"))
-    else:
-        messages = typed(read_csv(spark, integrated_messages, skip_bad_lines=True))
+    messages = typed(read_csv(spark, integrated_messages or f"{folder}/messages.csv"))
     return ForumTables(
         messages=messages,
         topics=tables["topics"],
