@@ -80,13 +80,9 @@ def _code_point(number: Column) -> Column:
 def decode_entities(text: Column | str) -> Column:
     """Named and numeric character references; unknown names stay as `&name`."""
     text = _col(text)
-    names = F.create_map(
-        *[
-            F.lit(part)
-            for name, char in html5.items()
-            if name.endswith(";")
-            for part in (name[:-1], char)
-        ]
+    known = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+    names = F.map_from_arrays(
+        F.split(F.lit(" ".join(known)), " "), F.split(F.lit("\u0001".join(known.values())), "\u0001")
     )
 
     def decoded(piece: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from agoralytics.functions import text as tx
 from agoralytics.operators.ordering import position
+from agoralytics.session import broadcast_if_small, cut_lineage
 
 # Patterns of the entities found by their form.
 PATTERNS = {
@@ -20,6 +21,9 @@ PATTERNS = {
 # Words of a name that are looked up together.
 NAME_WORDS = (1, 2, 3)
 
+# Names up to which the gazetteer is broadcast.
+BROADCAST_NAMES = 500_000
+
 
 # ids -------------------------------------------------------------------------
 
@@ -76,7 +80,7 @@ def gazetteer_terms(
 
     return (
         found.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in name_words]))).alias("term"))
-        .join(gazetteer.select("term", "type"), "term")
+        .join(broadcast_if_small(gazetteer.select("term", "type"), BROADCAST_NAMES), "term")
         .select(key, "term", "type")
     )
 
@@ -283,6 +287,8 @@ def mask_columns(
         )
         out = out.drop("entities", "masked", "mask_map")
         if gazetteer is not None:
+            # Read twice: for the names of each text and for the masking itself.
+            out = cut_lineage(out)
             out = mask_text(out, key, anon, gazetteer, {}).withColumn(anon, F.col("masked"))
             out = out.drop("entities", "masked", "mask_map")
         if replace_original:

@@ -51,8 +51,13 @@ def class_weights(df: DataFrame, label: str = "thread_label") -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(weights, label)
+    """Adds the weight of the row's class, from the counts of the few classes."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
+    return df.withColumn(name, weight)
 
 
 def cv_folds(

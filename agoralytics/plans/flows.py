@@ -71,8 +71,8 @@ def preprocess(
     """Superusers and moderators out, texts cleaned and masked, ids replaced.
 
     Integrated messages were filtered upstream and skip the row filters by account
-    and moderator. The cleaned messages are written once, because several
-    branches read them.
+    and moderator. The cleaned messages are written once, because the filters and
+    several branches read them and cleaning is the costly part.
     """
     account_map = mapping.topic_account_map(forum.topics, forum.groups)
     group_map = mapping.topic_group_map(forum.topics, forum.groups)
@@ -84,10 +84,10 @@ def preprocess(
             messages = filters.remove_moderators(messages, moderators)
 
     messages = clean_table(messages).withColumn("message_text", tx.standardize("message_text"))
+    messages = cut_lineage(messages)
     messages = filters.min_word_filter(messages, "message_text", min_words)
     if language is not None:
         messages = filters.language_filter(messages, "message_text", stop_words or {}, language)
-    messages = cut_lineage(messages)
 
     pseudonyms = cut_lineage(privacy.pseudonym_map([messages]))
     messages = privacy.pseudonymize(messages, pseudonyms)
@@ -114,10 +114,11 @@ def structure(
     min_words_initial: int = MIN_WORDS_INITIAL,
 ) -> DataFrame:
     """Off-topic groups out, thread structure and normalised text added, threads
-    with a short first post out."""
+    with a short first post out. Written once before the last step, which reads it
+    twice, as do all the tables made from it."""
     if "group_name" in community.columns:
         community = filters.filter_intro_groups(community, keywords)
-    rows = threads.normalize_messages(threads.thread_structure(community))
+    rows = cut_lineage(threads.normalize_messages(threads.thread_structure(community)))
     return filters.filter_short_threads(rows, min_words=min_words_initial)
 
 

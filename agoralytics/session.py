@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,3 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(spark)}/agoralytics-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only if the table has at most `rows` rows; the count stops there.
+
+    Beyond that the join is left to Spark, which splits skewed partitions.
+    """
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return df
