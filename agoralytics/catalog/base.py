@@ -6,7 +6,6 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from agoralytics.functions.text import WORD
 from agoralytics.operators import filters, labels, mapping, threads
@@ -68,11 +67,13 @@ class Stages:
         )
         return threads.thread_structure(cut_lineage(narrow))
 
+    def with_text(self, messages: DataFrame) -> DataFrame:
+        """Texts are fetched for the rows that are left."""
+        return views.with_text(messages, self.table("documents"))
+
     @cached_property
     def structured_text(self) -> DataFrame:
-        """The same with the texts, which are fetched for the rows that are left."""
-        texts = self.table("documents").select("doc_id", F.col("text").alias("message_text"))
-        return self.structured.join(texts, "doc_id")
+        return self.with_text(self.structured)
 
     @cached_property
     def normalized(self) -> DataFrame:
@@ -84,8 +85,7 @@ class Stages:
 
     @cached_property
     def annotated_text(self) -> DataFrame:
-        texts = self.table("documents").select("doc_id", F.col("text").alias("message_text"))
-        return threads.normalize_messages(self.annotated.join(texts, "doc_id"))
+        return threads.normalize_messages(self.with_text(self.annotated))
 
     @cached_property
     def thread_labels(self) -> DataFrame:

@@ -162,7 +162,7 @@ def subgroup_f1_of_model(spark, folder):
 def community_messages(spark, folder):
     """The whole first flow: filters, cleaning, masks, pseudonyms, group names."""
     s = Stages(spark, folder)
-    forum = s.forum.with_messages(s.forum.messages.drop("doc_id"))
+    forum = s.forum.with_messages(s.with_text(s.forum.messages).drop("doc_id"))
     done = flows.preprocess(forum, moderators(s.kept), _gazetteer(spark))
     return done.community
 
@@ -170,7 +170,7 @@ def community_messages(spark, folder):
 def messages_structured(spark, folder):
     """The whole second flow on the community messages."""
     s = Stages(spark, folder)
-    return flows.postprocess(s.grouped, KEYWORDS)["messages_structured"]
+    return flows.postprocess(s.with_text(s.grouped), KEYWORDS)["messages_structured"]
 
 
 QUERIES = {

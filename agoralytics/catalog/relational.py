@@ -52,7 +52,8 @@ def drop_empty_rows(spark, folder):
 
 
 def min_word_filter(spark, folder):
-    rows = filters.min_word_filter(Stages(spark, folder).kept, "message_text", 60)
+    s = Stages(spark, folder)
+    rows = filters.min_word_filter(s.with_text(s.kept), "message_text", 60)
     return rows.select("message_id", tx.word_count("message_text").alias("words"))
 
 
@@ -72,7 +73,8 @@ def community_filter(spark, folder):
 
 
 def term_search(spark, folder):
-    return filters.term_search(Stages(spark, folder).kept, TERMS).select("message_id", "poster_id")
+    s = Stages(spark, folder)
+    return filters.term_search(s.with_text(s.kept), TERMS).select("message_id", "poster_id")
 
 
 def short_initial_posts(spark, folder):

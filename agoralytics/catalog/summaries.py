@@ -83,11 +83,13 @@ def subtype_wordcount(spark, folder):
 
 
 def moderator_candidates(spark, folder):
-    return reports.moderator_candidates(Stages(spark, folder).grouped, TERMS)
+    s = Stages(spark, folder)
+    return reports.moderator_candidates(s.with_text(s.grouped), TERMS)
 
 
 def low_word_groups(spark, folder):
-    return reports.low_word_groups(Stages(spark, folder).grouped, 200)
+    s = Stages(spark, folder)
+    return reports.low_word_groups(s.with_text(s.grouped), 200)
 
 
 def length_quantiles(spark, folder):

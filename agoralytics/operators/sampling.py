@@ -56,12 +56,16 @@ def annotation_sample(
     """Replies to label by hand, with blank label columns.
 
     Self-replies out, at most `cap` per user, one per thread, then `size` of them
-    (all of them if there are fewer).
+    (all of them if there are fewer). Only ids go through the shuffles; the texts
+    are fetched for the drawn ids, of which there are at most `size`.
     """
-    pool = one_per_thread(cap_per_user(eligible_replies(structured), cap, seed), seed)
+    ids = structured.select(
+        "message_id", "topic_id", "poster_id", "first_poster_id", "is_initial_post"
+    )
+    pool = one_per_thread(cap_per_user(eligible_replies(ids), cap, seed), seed)
+    drawn = pool.orderBy(*_random_order(seed)).limit(size).select("message_id")
     return (
-        pool.orderBy(*_random_order(seed))
-        .limit(size)
+        structured.join(F.broadcast(drawn), "message_id", "left_semi")
         .select("message_id", "topic_id", "text_normalized", "post_date", "reply_index")
         .withColumn("label", F.lit(""))
         .withColumn("support_type", F.lit(""))

@@ -23,24 +23,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows
 
 
+def with_text(messages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Fetches the texts of messages that carry the document's id."""
+    texts = documents.select("doc_id", F.col("text").alias("message_text"))
+    return messages.join(texts, "doc_id")
+
+
 def forum_tables(spark: SparkSession, folder: str) -> ForumTables:
-    """Each event is a message, each user a poster; the texts are the documents."""
+    """Each event is a message, each user a poster; the texts are the documents.
+
+    Messages come without text, as a scan of a columnar table would read them;
+    `with_text` adds it where it is needed.
+    """
     events = table(spark, folder, "events")
-    documents = table(spark, folder, "documents")
     block = F.expr("event_id div 8")
-    keyed = events.withColumn(
-        "doc_id",
-        F.col("event_id") % documents.agg(F.count("*")).scalar(),
-    )
-    messages = keyed.join(documents.select("doc_id", "text"), "doc_id").select(
+    size = spark.read.parquet(f"{folder}/documents.parquet").agg(F.count("*")).scalar()
+    messages = events.select(
         F.col("event_id").alias("message_id"),
         F.when(block % 10 == 0, F.lit(1_000_000_000) + F.col("event_id"))
         .otherwise(block)
         .alias("topic_id"),
         F.col("user_id").alias("poster_id"),
         F.col("ts").alias("post_date"),
-        F.col("text").alias("message_text"),
-        "doc_id",
+        (F.col("event_id") % size).alias("doc_id"),
     )
     topic_ids = events.select(
         F.when(block % 10 == 0, F.lit(1_000_000_000) + F.col("event_id"))
