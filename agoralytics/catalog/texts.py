@@ -98,7 +98,8 @@ def _html_sql() -> str:
     out = f"regexp_replace({out}, '{_TAG}', chr(1), 'g')"
     out = f"regexp_replace({out}, '\\x01+', ' ', 'g')"
     for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
-        out = f"replace({out}, '&{name};', '{char}')"
+        # The semicolon may be missing, as in a title that was cut short.
+        out = f"regexp_replace({out}, '&{name}(?:;|$|([^a-zA-Z0-9;]))', '{char}\\1', 'g')"
     return strip_sql(out)
 
 
