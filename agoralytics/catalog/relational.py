@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agoralytics.catalog.base import KEYWORDS, SAMPLE, Stages, oracle, tokens_sql, words_sql
+from agoralytics.catalog.base import SAMPLE, Stages, oracle, tokens_sql, words_sql
 from agoralytics.functions import text as tx
 from agoralytics.functions.values import id_number, parse_date
 from agoralytics.operators import filters, labels, mapping, reports, sampling, threads
