@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoralytics.llm import golomb_dedup, ngram_join, piece_codec, sequence_files, spaced_seeds
+from agoralytics.llm import cotrain, golomb_dedup, html_paths, line_winnow, ngram_join, piece_codec, sequence_files, spaced_seeds
 from agoralytics.llm.common import table
 
 
+def op1_html_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html_paths.main_text(table(spark, folder, "pages"))
+
+
+def op3_line_winnow(spark: SparkSession, folder: str) -> DataFrame:
+    return line_winnow.drop_repeats(table(spark, folder, "documents"))
+
+
+def op5_cotrain(spark: SparkSession, folder: str) -> DataFrame:
+    return cotrain.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return piece_codec.digests(piece_codec.encode_and_decode(table(spark, folder, "documents"), path))
@@ -31,9 +43,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_html_paths, op3_line_winnow, op5_cotrain, op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join)}
 
 ORACLES = {
+    "op3_line_winnow": line_winnow.ORACLE,
     "op9_golomb_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents

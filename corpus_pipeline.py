@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoralytics.llm import golomb_dedup, ngram_join, piece_codec, spaced_seeds
+from agoralytics.llm import cotrain, golomb_dedup, ngram_join, piece_codec, spaced_seeds
 from agoralytics.llm.common import cut_lineage, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return golomb_dedup.drop_duplicates(docs)
@@ -31,6 +36,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("exact dedup", exact_dedup),
     ("n-gram Jaccard join", near_dedup),
     ("benchmark decontamination", decontaminate),
