@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agoralytics.llm import bit_filter
 from agoralytics.llm.common import chunks, cut_lineage, mix, shingles, texts_of, word_hashes
 from agoralytics.llm.components import components
 
@@ -199,7 +200,8 @@ def _count(found: DataFrame, docs: DataFrame, threshold: float, width: int) -> D
         "id", "label", "copies", "parts", F.expr("pmod(xxhash64(id, 3), parts)").alias("block"),
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.col("label")).alias("unit"),
     )
-    texts = texts_of(docs, F.col("doc_id").cast("long").alias("id")).join(placed, "id")
+    placed = cut_lineage(placed)
+    texts = texts_of(docs, F.col("doc_id").cast("long").alias("id")).where(bit_filter.may_hold(placed, "id")).join(placed, "id")
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
         "id", "label", "copies", "text", "unit", "parts", "block",
         F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"),
@@ -216,4 +218,4 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     Rows with a null id stay. Repeats of one row stay together; exact dedup removes them.
     """
     dropped = near_duplicates(docs, **settings).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return bit_filter.drop_ids(docs, cut_lineage(dropped))
