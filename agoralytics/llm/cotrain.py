@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agoralytics.llm.bit_filter import drop_ids
 from agoralytics.llm.common import cut_lineage
 
 #: The classifiers are fitted on this many labelled and unlabelled rows at most (expected numbers,
@@ -201,5 +202,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that the classifier keeps; rows without an id stay."""
-    gone = classify(docs, labels).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = classify(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return drop_ids(docs, cut_lineage(gone))

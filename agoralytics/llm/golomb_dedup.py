@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agoralytics.llm import bit_filter
 from agoralytics.llm.common import cut_lineage
 
 #: Rows that one sender answers for (a power of two), and fingerprints that one owner looks after.
@@ -122,7 +123,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     ids = suspects.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     verified = (
-        texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+        bit_filter.keep_ids(texts, ids)
         .groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
@@ -147,7 +148,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = cut_lineage(exact_duplicates(docs))
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = bit_filter.drop_ids(docs, gone)
     if found.where("not first and (kept or doc_id is null)").isEmpty():
         return left
     # Only here rows repeat with one id or have none: one row of each text stays.

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agoralytics.llm import bit_filter
 from agoralytics.llm.common import chunks, cut_lineage, mix, texts_of, word_hashes
 
 #: 1 looks at a word, 0 ignores it. Any one substitution that isn't at an end of
@@ -21,10 +22,6 @@ from agoralytics.llm.common import chunks, cut_lineage, mix, texts_of, word_hash
 MASKS = ("11011011", "11100111", "10111101")
 SPAN = 8
 
-#: The filter of test seeds that all tasks get: its bits, and the parts it is built in.
-FILTER_BITS, FILTER_PARTS = 1 << 26, 1 << 7
-_PART = FILTER_BITS // FILTER_PARTS
-
 
 def _seeds(words: np.ndarray, begins: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes, first words) per mask, then per plain run of each of the lengths below SPAN."""
@@ -78,43 +75,18 @@ def test_seeds(benchmark: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, "seed long, item_id long, item_at long, item_words long, item_context array<long>")
 
 
-def seed_filter(seeds: DataFrame) -> bytes:
-    """One bit per range of hashes that holds a test seed: FILTER_BITS bits, however many seeds there are."""
-    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS.bit_length() + 1)
-    parts = (
-        seeds.select((place / _PART).cast("int").alias("part"), (place % _PART).cast("int").alias("bit"))
-        .groupBy("part").agg(F.collect_set("bit").alias("bits"))
-    )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for bits in batch.column("bits"):
-                held = np.zeros(_PART, np.uint8)
-                held[bits.values.to_numpy()] = 1
-                out.append(np.packbits(held, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "held"])
-
-    held = np.zeros((FILTER_PARTS, _PART // 8), np.uint8)
-    for row in parts.mapInArrow(pack, "part int, held binary").toLocalIterator():
-        held[row.part] = np.frombuffer(row.held, np.uint8)
-    return held.tobytes()
-
-
 def training_seeds(docs: DataFrame, held: bytes, window: int, short: list[int]) -> DataFrame:
     """seed, doc_id, doc_at, doc_context of the places in whole texts whose seed passes the filter."""
     before, width = window - SPAN, 2 * window - SPAN
     shared = docs.sparkSession.sparkContext.broadcast(held)
-    shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in (part for whole in batches for part in chunks(whole)):
             words, begins = word_hashes(batch.column("text"))
             for seeds, at in _seeds(words, begins, short):
-                place = (seeds >> shift).astype(np.int64)
-                hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-                seeds, at = seeds[hit], at[hit]
+                held_ones = bit_filter.hit(bits, seeds)
+                seeds, at = seeds[held_ones], at[held_ones]
                 if not len(at):
                     continue
                 own = np.searchsorted(begins, at, side="right") - 1
@@ -148,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, similarity: f
     """
     tests = cut_lineage(test_seeds(benchmark.where("item_id is not null"), window))
     short = sorted(r[0] for r in tests.where(F.col("item_words") < SPAN).select("item_words").distinct().collect())
-    hits = training_seeds(docs.where("doc_id is not null"), seed_filter(tests), window, short).join(tests, "seed")
+    hits = training_seeds(docs.where("doc_id is not null"), bit_filter.build(tests, "seed"), window, short).join(tests, "seed")
     same = F.zip_with("doc_context", "item_context", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     compared = F.least("item_words", F.lit(window))
     return (
@@ -162,4 +134,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, similarity: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of documents that overlap with no test item; rows without an id stay."""
-    return docs.join(leaks(docs, benchmark, **settings).select("doc_id").distinct(), "doc_id", "left_anti")
+    return bit_filter.drop_ids(docs, cut_lineage(leaks(docs, benchmark, **settings).select("doc_id").distinct()))
