@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoralytics.llm import cotrain, golomb_dedup, html_paths, line_winnow, ngram_join, piece_codec, sequence_files, spaced_seeds, surrogates
+from agoralytics.llm import cotrain, golomb_dedup, html_paths, line_winnow, ngram_join, piece_codec, sequence_files, spaced_seeds, suffix_arrays, surrogates
 from agoralytics.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_html_paths(spark: SparkSession, folder: str) -> DataFrame:
     return html_paths.main_text(table(spark, folder, "pages"))
 
 
+def op2_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_arrays.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 def op3_line_winnow(spark: SparkSession, folder: str) -> DataFrame:
     return line_winnow.drop_repeats(table(spark, folder, "documents"))
 
@@ -47,7 +51,13 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_paths, op3_line_winnow, op4_surrogates, op5_cotrain, op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_paths, op2_suffix_arrays, op3_line_winnow, op4_surrogates, op5_cotrain,
+        op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join,
+    )
+}
 
 ORACLES = {
     "op3_line_winnow": line_winnow.ORACLE,
