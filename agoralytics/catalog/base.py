@@ -61,11 +61,12 @@ class Stages:
 
     @cached_property
     def structured(self) -> DataFrame:
-        """Thread structure over the narrow columns, written once before it branches."""
+        """Thread structure over the narrow columns, written before it is looked at twice
+        and again after the window, where it branches."""
         narrow = self.themed.select(
             "message_id", "topic_id", "poster_id", "post_date", "doc_id", "group_name"
         )
-        return threads.thread_structure(cut_lineage(narrow))
+        return cut_lineage(threads.thread_structure(cut_lineage(narrow)))
 
     def with_text(self, messages: DataFrame) -> DataFrame:
         """Texts are fetched for the rows that are left."""

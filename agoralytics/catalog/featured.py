@@ -10,7 +10,7 @@ from agoralytics.functions import text as tx
 from agoralytics.operators import features, lexicon, metrics, reports, split, threads
 from agoralytics.session import cut_lineage
 
-VOCABULARY = 500
+VOCABULARY = 5_000
 
 
 def structural_features(spark, folder):

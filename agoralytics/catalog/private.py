@@ -62,7 +62,7 @@ def mask_names(spark, folder):
 
 
 def mask_columns(spark, folder):
-    texts = _texts(spark, folder).withColumn("name", F.substring("text", 1, 80))
+    texts = _texts(spark, folder).withColumn("name", F.lower("text"))
     return privacy.mask_columns(texts, "doc_id", ["text", "name", "absent"], _gazetteer(spark))
 
 

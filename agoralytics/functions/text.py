@@ -29,6 +29,7 @@ WORD_EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 URL = rf"(?U)https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 QUOTE_BLOCK = r"(?is)\[quote[^\]]*\].*?\[/quote\]"
 QUOTE_LINE = r"(?dm)^>.*$"
+PUNCTUATION = r"([!?.]){2,}"
 
 # A mark that cannot occur in parsed markup, put in place of each tag.
 _TAG_MARK = "\u0000"
@@ -36,7 +37,7 @@ _SKIPPED_ELEMENT = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"<[!?/a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?/a-zA-Z][^>]*>"
 _ENTITY_PIECES = (
-    r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
+    r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
 )
 
 
@@ -78,7 +79,10 @@ def _code_point(number: Column) -> Column:
 
 
 def decode_entities(text: Column | str) -> Column:
-    """Named and numeric character references; unknown names stay as `&name`."""
+    """Named and numeric character references of any length; unknown names stay as `&name`.
+
+    Numbers beyond the last character, and 0, become U+FFFD; leading zeros don't count.
+    """
     text = _col(text)
     known = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
     names = F.map_from_arrays(
@@ -86,13 +90,13 @@ def decode_entities(text: Column | str) -> Column:
     )
 
     def decoded(piece: Column) -> Column:
-        body = F.rtrim(F.substring(piece, 2, 100), F.lit(";"))
-        number = F.when(
-            F.lower(F.substring(body, 2, 1)) == "x",
-            F.conv(F.substring(body, 3, 6), 16, 10),
-        ).otherwise(F.substring(body, 2, 7))
+        body = F.regexp_replace(piece, "^&|;$", "")
+        digits = F.regexp_replace(body, "^#[xX]?0*", "")
+        hexadecimal = F.lower(F.substring(body, 2, 1)) == "x"
+        fits = F.length(digits) <= F.when(hexadecimal, 6).otherwise(7)
+        number = F.when(fits, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits))
         return (
-            F.when(piece.startswith("&#"), _code_point(number.cast("int")))
+            F.when(piece.startswith("&#"), _code_point(F.coalesce(number.try_cast("int"), F.lit(0))))
             .when(
                 piece.startswith("&") & (F.length(piece) > 1),
                 F.coalesce(F.try_element_at(names, body), F.concat(F.lit("&"), body)),
@@ -128,7 +132,7 @@ def strip_urls(text: Column | str) -> Column:
 
 def collapse_punctuation(text: Column | str) -> Column:
     """A run of `!`, `?` and `.` becomes its last mark."""
-    return F.regexp_replace(_col(text), r"[!?.]+([!?.])", "$1")
+    return F.regexp_replace(_col(text), PUNCTUATION, "$1")
 
 
 def standardize(text: Column | str) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_OFFSET = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[zZ]|[+-]\d{1,2}(?::?\d{2})?)$"
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -22,14 +25,25 @@ def seeded_unit(key: Column | str, seed: int | str) -> Column:
 
 
 def parse_date(value: Column | str) -> Column:
-    """Time stamp without zone; what cannot be read is NULL."""
-    return _col(value).cast("string").try_cast("timestamp_ntz")
+    """Time stamp without zone; what cannot be read is NULL.
+
+    A time with an offset, or with Z, is turned to UTC, so that times with other
+    offsets stay in order; a time without one is taken as it stands.
+    """
+    text = F.trim(_col(value).cast("string"))
+    instant = text.try_cast("timestamp").cast("timestamp_ntz")
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)
+    return F.when(text.rlike(_OFFSET), in_utc).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def id_number(value: Column | str) -> Column:
-    """`"12.0"` becomes 12; text that is no number becomes NULL."""
-    number = _col(value).cast("string").try_cast("double")
-    return F.when(~F.isnan(number), number.try_cast("bigint"))
+    """`"12.0"` becomes 12; text that is no number becomes NULL.
+
+    Whole numbers are read as such: beyond 2^53 a double no longer tells them apart.
+    """
+    text = _col(value).cast("string")
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), F.when(~F.isnan(number), number.try_cast("bigint")))
 
 
 def by_date(date: str = "post_date", key: str = "message_id") -> list[Column]:

@@ -23,7 +23,11 @@ STRUCTURAL = (
 
 
 def structural_features(df: DataFrame, column: str = "text_normalized") -> DataFrame:
-    """Adds length, punctuation and sentence features of a text."""
+    """Adds length, punctuation and sentence features of a text.
+
+    Standardised texts have no ellipses left: the column `ellipsis_count`, if there
+    is one, holds those from before.
+    """
     text = F.coalesce(F.col(column), F.lit(""))
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
     return df.withColumns(
@@ -33,7 +37,9 @@ def structural_features(df: DataFrame, column: str = "text_normalized") -> DataF
             "feat_question_marks": count(r"\?"),
             "feat_exclamation": count("!"),
             "feat_sentence_count": F.greatest(F.lit(1).cast("long"), count("[.!?]")),
-            "feat_ellipsis": count(r"\.\.\."),
+            "feat_ellipsis": F.coalesce("ellipsis_count", F.lit(0)).cast("long")
+            if "ellipsis_count" in df.columns
+            else count(r"\.\.\."),
         }
     ).withColumn(
         "feat_avg_sentence_len", F.col("feat_word_count") / F.col("feat_sentence_count")

@@ -12,11 +12,18 @@ from agoralytics.functions import text as tx
 from agoralytics.operators.ordering import position
 from agoralytics.session import broadcast_if_small, cut_lineage
 
-# Patterns of the entities found by their form.
-PATTERNS = {
-    "URL": r"https?://[!$-_a-z]+",
-    "EMAIL": rf"{tx.WORD_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}{tx.WORD_EDGE}",
-}
+# Fixed value: the pattern of mail addresses; only its word edges are spelled out,
+# because `\b` of Java knows ASCII only.
+EMAIL = rf"{tx.WORD_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{tx.WORD_EDGE}"
+
+# The characters that a link may hold, as one class: repeated alternatives overflow
+# the stack of Java's matcher on a link of 20,000 characters.
+URL = r"https?://[!$-_a-z]+"
+
+# What looks like a placeholder already is masked too, or restoring would change it.
+PLACEHOLDER = r"\[ENTITY_[A-Za-z]+_[0-9]+\]"
+
+PATTERNS = {"URL": URL, "EMAIL": EMAIL, "LITERAL": PLACEHOLDER}
 
 # Words of a name that are looked up together.
 NAME_WORDS = (1, 2, 3)
@@ -65,7 +72,11 @@ def gazetteer_terms(
     column: str,
     name_words: Sequence[int] = NAME_WORDS,
 ) -> DataFrame:
-    """(key, term, type): the listed names whose words follow each other in a text."""
+    """(key, term, type): the listed names whose words follow each other in a text.
+
+    A name that is listed under several types has the first of them.
+    """
+    gazetteer = gazetteer.groupBy("term").agg(F.min("type").alias("type"))
     found = texts.select(
         key, F.regexp_extract_all(column, F.lit(rf"[{tx.WORD}]+"), F.lit(0)).alias("_words")
     )
@@ -243,13 +254,12 @@ def mask_text(
 
 
 def unmask(masked: Column | str, mask_map: Column | str) -> Column:
-    """The text before masking."""
+    """The text before masking: each placeholder is looked up once, from left to right."""
     text = F.col(masked) if isinstance(masked, str) else masked
-    return F.aggregate(
-        F.map_entries(mask_map),
-        text,
-        lambda acc, entry: F.replace(acc, entry["key"], entry["value"]),
-    )
+    held = F.col(mask_map) if isinstance(mask_map, str) else mask_map
+    pieces = F.regexp_extract_all(text, F.lit(rf"{PLACEHOLDER}|[^\[]+|\["), F.lit(0))
+    restored = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(held, p), p))
+    return F.array_join(restored, "")
 
 
 def entity_review(masked: DataFrame, key: str, column: str) -> DataFrame:
@@ -264,33 +274,50 @@ def text_review(masked: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def mask_columns(
+def mask_with_review(
     df: DataFrame,
     key: str,
-    columns: Sequence[str],
+    column: str,
     gazetteer: DataFrame | None = None,
-    replace_original: bool = True,
     patterns: Mapping[str, str] = PATTERNS,
 ) -> DataFrame:
-    """Masks several columns, in place or as `<column>_anon`; absent ones are skipped.
+    """Adds <column>_anon, and `entities` and `mask_map` of both passes.
 
     Links and mail addresses are masked first; then mentions lose their `@`, so
-    that the names in them are found by the gazetteer.
+    that the names in them are found by the gazetteer. Positions of names count in
+    the text that the first pass left.
     """
+    anon = f"{column}_anon"
+    out = mask_text(df, key, column, None, patterns).withColumn(anon, tx.plain_mentions("masked"))
+    if gazetteer is None:
+        return out.drop("masked")
+    # Read twice: for the names of each text and for the masking itself.
+    out = cut_lineage(
+        out.withColumnsRenamed({"entities": "_by_form", "mask_map": "_form_map"}).drop("masked")
+    )
+    named = mask_text(out, key, anon, gazetteer, {})
+    return (
+        named.withColumn(anon, F.col("masked"))
+        .withColumn("entities", F.concat("_by_form", "entities"))
+        .withColumn("mask_map", F.map_concat("_form_map", "mask_map"))
+        .drop("masked", "_by_form", "_form_map")
+    )
+
+
+def mask_columns(
+    df: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    gazetteer: DataFrame | None = None,
+    replace_original: bool = True,
+    patterns: Mapping[str, str] = PATTERNS,
+) -> DataFrame:
+    """Masks several columns, in place or as `<column>_anon`; absent ones are skipped."""
     out = df
     for column in columns:
         if column not in df.columns:
             continue
-        anon = f"{column}_anon"
-        out = mask_text(out, key, column, None, patterns).withColumn(
-            anon, tx.plain_mentions("masked")
-        )
-        out = out.drop("entities", "masked", "mask_map")
-        if gazetteer is not None:
-            # Read twice: for the names of each text and for the masking itself.
-            out = cut_lineage(out)
-            out = mask_text(out, key, anon, gazetteer, {}).withColumn(anon, F.col("masked"))
-            out = out.drop("entities", "masked", "mask_map")
+        out = mask_with_review(out, key, column, gazetteer, patterns).drop("entities", "mask_map")
         if replace_original:
-            out = out.withColumn(column, F.col(anon)).drop(anon)
+            out = out.withColumn(column, F.col(f"{column}_anon")).drop(f"{column}_anon")
     return out

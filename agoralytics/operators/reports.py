@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from agoralytics.config import CAPS, MODERATOR_TERMS, SHORT_MESSAGE_WORDS
 from agoralytics.functions import text as tx
 from agoralytics.functions.values import date_rank
-from agoralytics.operators.filters import term_search
 from agoralytics.operators.threads import self_reply_flag
+from agoralytics.session import cut_lineage
 
 
 def _metric_rows(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -21,18 +21,28 @@ def _metric_rows(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 
 def corpus_summary(structured: DataFrame) -> DataFrame:
+    """Totals from one row per poster; each thread has one first post."""
     first = F.col("is_initial_post")
     answered = F.col("thread_has_replies")
+    posters = structured.groupBy("poster_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(first).alias("firsts"),
+        F.count_if(~first).alias("replies"),
+        F.count_if(first & F.col("topic_id").isNotNull()).alias("threads"),
+        F.count_if(first & answered).alias("answered"),
+        F.count_if(first & ~answered).alias("unanswered"),
+    )
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
     return _metric_rows(
-        structured,
+        posters,
         {
-            "Total messages": F.count("*"),
-            "Initial posts": F.count_if(first),
-            "Replies": F.count_if(~first),
-            "Unique users": F.count_distinct("poster_id"),
-            "Unique threads": F.count_distinct("topic_id"),
-            "Threads with replies": F.count_if(first & answered),
-            "Threads without replies": F.count_if(first & ~answered),
+            "Total messages": total("n"),
+            "Initial posts": total("firsts"),
+            "Replies": total("replies"),
+            "Unique users": F.count("poster_id"),
+            "Unique threads": total("threads"),
+            "Threads with replies": total("answered"),
+            "Threads without replies": total("unanswered"),
         },
     )
 
@@ -345,7 +355,9 @@ def moderator_candidates(
         )
         .filter("mod_term_mentions > 0")
     )
-    writers = term_search(known, terms).select("poster_id").distinct()
+    # Few posters use such a term; the texts are searched once.
+    totals = cut_lineage(totals)
+    writers = totals.select("poster_id")
     in_order = Window.partitionBy("poster_id").orderBy("_first", "group_name")
     first_groups = (
         known.join(writers, "poster_id", "left_semi")
@@ -371,7 +383,7 @@ def moderator_candidates(
         "groups_posted_in",
         "sample_mod_message",
         F.lit("").alias("is_moderator"),
-    )
+    ).orderBy(F.desc("mod_term_mentions"), "poster_id")
 
 
 def low_word_groups(messages: DataFrame, most: float = 4.0) -> DataFrame:
@@ -385,4 +397,5 @@ def low_word_groups(messages: DataFrame, most: float = 4.0) -> DataFrame:
         counts.groupBy("group_name")
         .agg(F.percentile("wc", 0.5, F.col("_n")).alias("median_word_count"))
         .filter(F.col("median_word_count") <= most)
+        .orderBy("median_word_count", "group_name")
     )

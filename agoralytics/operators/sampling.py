@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from agoralytics.config import SAMPLE_SIZE, SEED, USER_CAP
 from agoralytics.functions.values import seeded_hash
 from agoralytics.operators.threads import initial_posts, self_reply_flag
+from agoralytics.session import broadcast_if_small
+
+# Ids of a sample up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def _random_order(seed: int) -> list:
@@ -65,7 +69,7 @@ def annotation_sample(
     pool = one_per_thread(cap_per_user(eligible_replies(ids), cap, seed), seed)
     drawn = pool.orderBy(*_random_order(seed)).limit(size).select("message_id")
     return (
-        structured.join(F.broadcast(drawn), "message_id", "left_semi")
+        structured.join(broadcast_if_small(drawn, BROADCAST_IDS), "message_id", "left_semi")
         .select("message_id", "topic_id", "text_normalized", "post_date", "reply_index")
         .withColumn("label", F.lit(""))
         .withColumn("support_type", F.lit(""))

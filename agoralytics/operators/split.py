@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agoralytics.config import HOT_ROWS, SEED
 from agoralytics.functions.values import seeded_hash, seeded_unit
 from agoralytics.operators.ordering import number_rows
+from agoralytics.session import cut_lineage
 
 
 def user_split(
@@ -17,11 +18,15 @@ def user_split(
     train: float = 0.70,
     val: float = 0.15,
 ) -> DataFrame:
-    """Adds split: all rows of a user land in the same part. Nothing is shuffled."""
+    """Adds split: all rows of a user land in the same part. Nothing is shuffled.
+
+    Rows without a user belong to no part (NULL): nobody can tell that they don't
+    share their user with another part.
+    """
     at = seeded_unit(user, seed)
     return df.withColumn(
         "split",
-        F.when(at < train, "train").when(at < train + val, "val").otherwise("test"),
+        F.when(at < train, "train").when(at < train + val, "val").when(at.isNotNull(), "test"),
     )
 
 
@@ -74,5 +79,6 @@ def cv_folds(
     tasks.
     """
     order = [seeded_hash(key, seed), F.col(key).asc()]
-    numbered = number_rows(df, [label], order, "_number", hot_rows)
+    # Read twice: to look for hot labels, and to be numbered.
+    numbered = number_rows(cut_lineage(df), [label], order, "_number", hot_rows)
     return numbered.withColumn("fold", (F.col("_number") % folds).cast("int")).drop("_number")

@@ -49,7 +49,11 @@ def clean_table(df: DataFrame, text: str = "message_text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Preprocessed:
-    """Cleaned tables, the community messages with group names, the id map."""
+    """Cleaned tables, the community messages with group names, the id map.
+
+    For reviewers: the entities of each message (message_id, type, start, end, text),
+    its text before and after masking, and the map back from each placeholder.
+    """
 
     messages: DataFrame
     topics: DataFrame
@@ -57,6 +61,9 @@ class Preprocessed:
     accounts: DataFrame | None
     community: DataFrame
     pseudonyms: DataFrame
+    entities: DataFrame
+    review: DataFrame
+    mask_map: DataFrame
 
 
 def preprocess(
@@ -83,7 +90,16 @@ def preprocess(
         if moderators is not None:
             messages = filters.remove_moderators(messages, moderators)
 
-    messages = clean_table(messages).withColumn("message_text", tx.standardize("message_text"))
+    # Links and addresses are masked while they are there; standardising deletes links
+    # and collapses ellipses.
+    masked = privacy.mask_with_review(clean_table(messages), "message_id", "message_text", gazetteer)
+    masked = cut_lineage(masked)
+    messages = masked.withColumns(
+        {
+            "ellipsis_count": F.regexp_count("message_text", F.lit(r"\.\.\.")),
+            "message_text": tx.standardize("message_text_anon"),
+        }
+    ).drop("entities", "mask_map", "message_text_anon")
     messages = cut_lineage(messages)
     messages = filters.min_word_filter(messages, "message_text", min_words)
     if language is not None:
@@ -91,7 +107,6 @@ def preprocess(
 
     pseudonyms = cut_lineage(privacy.pseudonym_map([messages]))
     messages = privacy.pseudonymize(messages, pseudonyms)
-    messages = privacy.mask_columns(messages, "message_id", ["message_text"], gazetteer)
     messages = messages.withColumn("message_text_normalized", F.lower("message_text"))
     topics = privacy.mask_columns(clean_table(forum.topics), "topic_id", ["name"], gazetteer)
 
@@ -105,6 +120,15 @@ def preprocess(
         accounts=None if forum.accounts is None else clean_table(forum.accounts),
         community=mapping.attach_group(community, group_map),
         pseudonyms=pseudonyms,
+        entities=masked.select("message_id", F.inline("entities")),
+        review=masked.select(
+            "message_id",
+            F.col("message_text").alias("original_text"),
+            F.col("message_text_anon").alias("anonymized_text"),
+        ),
+        mask_map=masked.select(
+            "message_id", F.explode("mask_map").alias("placeholder", "original")
+        ),
     )
 
 

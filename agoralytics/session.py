@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,26 @@ def scratch_folder(spark: SparkSession) -> str:
 _local_folder: list[tempfile.TemporaryDirectory] = []
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application inside the shared one; all it writes lies in it."""
+    return f"{scratch_folder(spark)}/agoralytics-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Deletes what this application wrote; results that are still to be read need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def clean_run(spark: SparkSession) -> Iterator[SparkSession]:
+    """with clean_run(spark): ... deletes the intermediate tables at its end, also after an error."""
+    try:
+        yield spark
+    finally:
+        clear_run(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and goes on from there.
 
@@ -55,7 +77,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they need.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/agoralytics-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,16 +69,20 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def read_forum(
-    spark: SparkSession, folder: str, integrated_messages: str | None = None
+    spark: SparkSession,
+    folder: str,
+    integrated_messages: str | None = None,
+    multi_line: bool = True,
 ) -> ForumTables:
     """Tables of a dump folder.
 
     Given integrated messages take the place of the raw ones, and the filters
-    that made them are not run again.
+    that made them are not run again. For multi_line see read_csv; it is for the
+    messages, the one large table.
     """
     names = ["topics", "groups", "accounts"]
     tables = {name: typed(read_csv(spark, f"{folder}/{name}.csv")) for name in names}
-    messages = typed(read_csv(spark, integrated_messages or f"{folder}/messages.csv"))
+    messages = typed(read_csv(spark, integrated_messages or f"{folder}/messages.csv", multi_line))
     return ForumTables(
         messages=messages,
         topics=tables["topics"],

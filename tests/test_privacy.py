@@ -64,3 +64,25 @@ def test_pseudonyms(spark):
     assert sorted(str(r[0]) for r in privacy.pseudonymize(a, names).collect()) == [
         "None", "user_1", "user_3",
     ]
+
+
+def test_restore_keeps_literal_placeholders(spark):
+    text = "see [ENTITY_EMAIL_1] and a@b.nl"
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    masked = privacy.mask_text(df, "id", "t")
+    row = masked.select("masked", privacy.unmask("masked", "mask_map").alias("back")).head()
+    assert "a@b.nl" not in row["masked"] and row["back"] == text
+
+
+def test_a_name_under_two_types(spark):
+    df = spark.createDataFrame([(1, "hi jan here")], "id long, t string")
+    names = spark.createDataFrame([("jan", "PERSON"), ("jan", "GPE")], "term string, type string")
+    found = privacy.extract_entities(df, "id", "t", names).collect()
+    assert [(r.type, r.text) for r in found] == [("GPE", "jan")]
+
+
+def test_rows_without_a_poster_have_no_part(spark):
+    from agoralytics.operators.split import user_split
+
+    rows = user_split(spark.createDataFrame([(1,), (None,)], "poster_id long")).collect()
+    assert {r.poster_id: r.split is None for r in rows} == {1: False, None: True}

@@ -65,3 +65,38 @@ def test_write_tables(spark, tmp_path):
     assert back["t"] == 'a "b"\nc'
     forum.write_table(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+
+
+def test_first_flow_masks_links_and_counts_ellipses(spark):
+    from agoralytics.operators.features import structural_features
+    from agoralytics.sources.forum import ForumTables
+
+    messages = spark.createDataFrame(
+        [(1, 10, 7, "2024-01-01", "wow... see http://x.y/z and a@b.nl of @jan_smit")],
+        "message_id long, topic_id long, poster_id long, post_date string, message_text string",
+    )
+    topics = spark.createDataFrame([(10, 1, "t")], "topic_id long, group_id long, name string")
+    groups = spark.createDataFrame([(1, 2, "g")], "group_id long, account_id long, group_name string")
+    names = spark.createDataFrame([("jan smit", "PERSON")], "term string, type string")
+    done = preprocess(ForumTables(messages, topics, groups), gazetteer=names, accounts=(2,))
+    row = structural_features(done.community, "message_text").head()
+    assert row["message_text"] == "wow. see [ENTITY_URL_1] and [ENTITY_EMAIL_1] of [ENTITY_PERSON_1]"
+    assert row["feat_ellipsis"] == 1
+    assert {(r.type, r.text) for r in done.entities.collect()} == {
+        ("URL", "http://x.y/z"), ("EMAIL", "a@b.nl"), ("PERSON", "jan smit"),
+    }
+    assert done.review.head()["original_text"].startswith("wow... see http")
+    assert {r.placeholder for r in done.mask_map.collect()} == {
+        "[ENTITY_URL_1]", "[ENTITY_EMAIL_1]", "[ENTITY_PERSON_1]",
+    }
+
+
+def test_nothing_stays_after_a_run(spark):
+    from pathlib import Path
+
+    from agoralytics.session import cut_lineage, run_folder, scratch_folder
+
+    kept = Path(scratch_folder(spark).removeprefix("file:")) / "kept"
+    with_folder = Path(run_folder(spark).removeprefix("file:"))
+    assert cut_lineage(spark.range(3)).count() == 3 and with_folder.exists()
+    assert not kept.exists()

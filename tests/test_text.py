@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,26 @@ def test_seeded_unit(one):
 
 def test_length_counts_characters(one):
     assert one(F.length, "a😀") == 2
+
+
+def test_references_of_any_length(one):
+    name = "a" * 150
+    assert one(tx.decode_entities, f"&{name} x") == f"&{name} x"
+    assert one(tx.decode_entities, "&#00000000065;&#x000000042;&#0000000000000067") == "ABC"
+    assert one(tx.decode_entities, "&#99999999999999999999;&#x110000;&#0;") == "�" * 3
+
+
+def test_marks_collapse_to_the_last(one):
+    assert one(tx.collapse_punctuation, "a!?. b... c.") == "a. b. c."
+
+
+def test_ids_are_exact(one):
+    assert one(id_number, "9007199254740993") == 9007199254740993
+    assert one(id_number, "12.0") == 12 and one(id_number, "nan") is None and one(id_number, "x") is None
+
+
+def test_offsets_are_turned_to_utc(one):
+    assert one(parse_date, "2024-05-01 10:00:00+02:00") == datetime(2024, 5, 1, 8)
+    assert one(parse_date, "2024-05-01T10:00:00Z") == datetime(2024, 5, 1, 10)
+    assert one(parse_date, "2024-05-01 10:00:00") == datetime(2024, 5, 1, 10)
+    assert one(parse_date, "2024-05-01") == datetime(2024, 5, 1)
