@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
     chosen = _drawn(there, "id", LABELLED, 1).withColumn("known", F.lit(True))
     free = _drawn(narrow.join(known, "id", "left_anti"), "id", UNLABELLED, 2)
     chosen = chosen.unionByName(free.withColumn("known", F.lit(False)), allowMissingColumns=True)
-    picked = docs.withColumnRenamed("doc_id", "id").select("id", "text", "source", "lang").join(F.broadcast(cut_lineage(chosen)), "id")
+    picked = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang").join(F.broadcast(cut_lineage(chosen)), "id")
     rows = cut_lineage(views(picked.dropDuplicates(["id"]), "id", "known", *TARGETS)).cache()
     unlabelled = rows.where("not known").select("id", *VIEWS)
     out = {}

@@ -31,13 +31,13 @@ SKIPPED = frozenset(
     "button select textarea input dialog menu head title noembed noframes xmp".split()
 )
 BLOCKS = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr "
+    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address hr details summary fieldset center hgroup".split()
 )
 CONTAINERS = frozenset("html body main article section div td center details blockquote".split())
 #: An opening tag on the left ends open elements of the kinds on the right.
 CLOSES = {
-    **{t: frozenset(["p"]) for t in BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "li", "dt", "dd"}},
+    **{t: frozenset(["p"]) for t in BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd"}},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
     "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "tfoot": frozenset(["tbody", "tr", "td", "th"]),
@@ -104,7 +104,7 @@ def blocks_of(page: str) -> list[tuple[str, int, list[tuple[str, int]]]]:
         linked = 0
 
     def close(down_to: int) -> None:
-        if any(e.tag in BLOCKS or e.tag == "td" for e in stack[down_to:]):
+        if any(e.tag in BLOCKS for e in stack[down_to:]):
             flush()
         del stack[down_to:]
 
@@ -143,7 +143,7 @@ def blocks_of(page: str) -> list[tuple[str, int, list[tuple[str, int]]]]:
                     break
         if tag in BLOCKS:
             flush()
-        elif tag in ("br", "td", "th") and not stack[-1].skipped:
+        elif tag == "br" and not stack[-1].skipped:
             text.append(" ")
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS and tag != "a":
             continue

@@ -31,7 +31,7 @@ _SECRET_NAME = r"(?i:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access
 #: Kind and pattern of every entity; where two begin at one place, the first of this order wins.
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
-    "SECRET": rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[^\s\"',;]{{6,}}+|(?<![\p{{L}}\p{{N}}])(?:\p{{XDigit}}{{32,}}+|AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,}}+|sk-[\w-]{{16,}}+|eyJ[\w-]{{10,}}+\.[\w-]++(?:\.[\w-]++)?)(?![\p{{L}}\p{{N}}])",
+    "SECRET": rf"(?<![\p{{L}}\p{{N}}]){_SECRET_NAME}[^\s\"',;]{{6,}}+|(?<![\p{{L}}\p{{N}}])(?:(?=[A-Fa-f]*+\d)(?=\d*+[A-Fa-f])\p{{XDigit}}{{32,}}+|AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,}}+|sk-[\w-]{{16,}}+|eyJ[\w-]{{10,}}+\.[\w-]++(?:\.[\w-]++)?)(?![\p{{L}}\p{{N}}])",
     "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "IPV6": r"(?<![\p{XDigit}:])(?:\p{XDigit}{1,4}:){7}\p{XDigit}{1,4}(?![\p{XDigit}:])",
     "IP": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
