@@ -8,10 +8,12 @@ the end each view is calibrated on labelled rows that took no part, and both are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, FeatureHasher, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,27 +26,47 @@ from agoralytics.llm.common import cut_lineage
 LABELLED, UNLABELLED = 8_000, 8_000
 #: Rounds of exchange, the share of the unlabelled rows each view may label per class and round, and how sure it has to be.
 ROUNDS, GIVEN, SURE = 2, 0.1, 0.95
-WORD_FEATURES, META_FEATURES = 1 << 18, 1 << 8
+#: Tasks in which the fitted rows are read.
+FIT_TASKS = 2
+#: Words that count, the most frequent of those rows; the fitted models stay as small however large the corpus is.
+WORDS, META_FEATURES = 20_000, 1 << 8
 VIEWS, TARGETS = ("words", "meta"), ("quality", "toxic")
 
 
+def _together(work: Callable[[str], object], names: tuple[str, ...]) -> dict:
+    """Runs small Spark jobs side by side: each fit is a row of short passes that leaves most cores idle."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(work, names), strict=True))
+
+
 def _share(of: Column, part: Column) -> Column:
     return F.coalesce(part / F.greatest(of, F.lit(1)), F.lit(0.0))
 
 
-def views(docs: DataFrame, *keep: str) -> DataFrame:
+def tokenised(docs: DataFrame, *keep: str) -> DataFrame:
+    """The named columns, source, lang, text and its lower-case words."""
+    narrow = docs.select(
+        *keep, F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("source", F.lit("?")).alias("source"), F.coalesce("lang", F.lit("?")).alias("lang"),
+    )
+    return RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}]+").transform(narrow)
+
+
+def vocabulary(tokens: DataFrame) -> CountVectorizerModel:
+    """Which words count, from a bounded sample."""
+    counter = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=WORDS, binary=True)
+    if tokens.where(F.size("tokens") > 0).isEmpty():
+        return CountVectorizerModel.from_vocabulary(["-"], inputCol="tokens", outputCol="counts")
+    return counter.fit(tokens)
+
+
+def views(tokens: DataFrame, counter: CountVectorizerModel, *keep: str) -> DataFrame:
     """The two feature vectors, words and meta, of each document; `keep` names columns that stay.
 
     Any column may be null: a missing text is empty, a missing source or language a value of its own.
     """
-    text = F.coalesce("text", F.lit(""))
     words = F.size("tokens")
-    narrow = docs.select(
-        *keep, text.alias("text"), F.coalesce("source", F.lit("?")).alias("source"), F.coalesce("lang", F.lit("?")).alias("lang")
-    )
-    tokens = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}]+")
-    hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=WORD_FEATURES, binary=True)
-    frame = hashed.transform(tokens.transform(narrow))
+    frame = counter.transform(tokens)
     length = F.length("text")
     frame = frame.select(
         *keep, "source", "lang", "counts",
@@ -90,9 +112,10 @@ class Combined:
 def _regression(view: str) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=view, rawPredictionCol=f"raw_{view}", probabilityCol=f"p_{view}", predictionCol=f"guess_{view}",
-        labelCol="label", weightCol="weight", maxIter=30,
+        labelCol="label", weightCol="weight", maxIter=12,
         # Words that say nothing get no weight at all: most words of a corpus are rare.
-        regParam=5e-3 if view == "words" else 1e-4, elasticNetParam=1.0 if view == "words" else 0.0,
+        regParam=2e-2 if view == "words" else 1e-4, elasticNetParam=1.0 if view == "words" else 0.0,
+        standardization=view != "words",  # it would make rare words cheap, and wrong labels be learnt by heart
     )
 
 
@@ -126,25 +149,28 @@ def fit(labelled: DataFrame, unlabelled: DataFrame) -> Combined | None:
     pool, most = unlabelled, max(1, int(GIVEN * unlabelled.count()))
     models = {}
     for turn in range(ROUNDS + 1):
-        models = {view: _regression(view).fit(_weighted(sets[view])) for view in VIEWS}
+        models = _together(lambda view: _regression(view).fit(_weighted(sets[view]).coalesce(FIT_TASKS)), VIEWS)
         if turn == ROUNDS:
             break
-        given = {}
-        for view in VIEWS:
+
+        def label(view: str) -> DataFrame:
             p = vector_to_array(F.col(f"p_{view}"))[1]
-            seen = models[view].transform(pool).select("id", *VIEWS, p.alias("p"))
+            seen = learnt[view].transform(left).select("id", *VIEWS, p.alias("p"))
             sure = [
                 seen.where(F.col("p") >= SURE).orderBy(F.desc("p"), "id").limit(most).withColumn("label", F.lit(1.0)),
                 seen.where(F.col("p") <= 1 - SURE).orderBy("p", "id").limit(most).withColumn("label", F.lit(0.0)),
             ]
-            given[view] = cut_lineage(sure[0].union(sure[1]).select(columns))
+            return cut_lineage(sure[0].union(sure[1]).select(columns)).coalesce(1)
+
+        learnt, left = models, pool
+        given = _together(label, VIEWS)
         # Each view learns from what the other one is sure of; nobody labels a row again.
         sets = {"words": sets["words"].union(given["meta"]), "meta": sets["meta"].union(given["words"])}
         used = given["words"].select("id").union(given["meta"].select("id")).distinct()
-        pool = cut_lineage(pool.join(F.broadcast(used), "id", "left_anti"))
+        pool = cut_lineage(pool.join(F.broadcast(used), "id", "left_anti")).coalesce(FIT_TASKS)
     for view in VIEWS:
         rest = models[view].transform(rest).withColumn(f"m_{view}", _margin(models[view], view))
-    rest = cut_lineage(rest.select("label", *(f"m_{v}" for v in VIEWS)))
+    rest = cut_lineage(rest.select("label", *(f"m_{v}" for v in VIEWS))).coalesce(1)  # a fifth of a bounded number of rows
     calibration = {}
     for view in VIEWS:
         b, a = _line(rest, [f"m_{view}"])
@@ -161,8 +187,8 @@ def _drawn(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
-    """A model per target from labels(doc_id, quality, toxic); ids with two labels count with the larger."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[CountVectorizerModel, dict[str, Combined | None]]:
+    """The words that count, and a model per target from labels(doc_id, quality, toxic); ids with two labels count with the larger."""
     known = (
         labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
         .agg(*(F.max(F.col(t).cast("double")).alias(t) for t in TARGETS))
@@ -173,14 +199,19 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
     free = _drawn(narrow.join(known, "id", "left_anti"), "id", UNLABELLED, 2)
     chosen = chosen.unionByName(free.withColumn("known", F.lit(False)), allowMissingColumns=True)
     picked = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang").join(F.broadcast(cut_lineage(chosen)), "id")
-    rows = cut_lineage(views(picked.dropDuplicates(["id"]), "id", "known", *TARGETS)).cache()
+    tokens = cut_lineage(tokenised(picked.dropDuplicates(["id"]), "id", "known", *TARGETS))
+    counter = vocabulary(tokens)
+    # A bounded number of rows: few tasks per pass of a fit.
+    rows = cut_lineage(views(tokens, counter, "id", "known", *TARGETS).coalesce(FIT_TASKS)).coalesce(FIT_TASKS).cache()
     unlabelled = rows.where("not known").select("id", *VIEWS)
-    out = {}
-    for target in TARGETS:
+
+    def learn(target: str) -> Combined | None:
         labelled = rows.where(F.col("known") & F.col(target).isNotNull()).select("id", *VIEWS, F.col(target).alias("label"))
-        out[target] = fit(labelled, unlabelled)
+        return fit(labelled, unlabelled)
+
+    out = {target: learn(target) for target in TARGETS}
     rows.unpersist()
-    return out
+    return counter, out
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -191,8 +222,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score is null and rejects nothing. Any column may be null, rows may repeat, other
     columns don't matter; no rows give no rows.
     """
-    models = train(docs, labels)
-    frame = views(docs, "doc_id")
+    counter, models = train(docs, labels)
+    frame = views(tokenised(docs, "doc_id"), counter, "doc_id")
     for target in TARGETS:
         name = f"p_{target}"
         frame = models[target].score(frame, name) if models[target] else frame.withColumn(name, F.lit(None).cast("double"))
