@@ -8,6 +8,7 @@ the end each view is calibrated on labelled rows that took no part, and both are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -30,6 +31,11 @@ ROUNDS, GIVEN, SURE = 2, 0.1, 0.95
 FIT_TASKS = 2
 #: Words that count, the most frequent of those rows; the fitted models stay as small however large the corpus is.
 WORDS, META_FEATURES = 20_000, 1 << 8
+#: Characters whose shares describe the layout.
+LAYOUT = {
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÇÑÓÍ", "digits": "0123456789", "marks": ".,;:?'\"-()",
+    "signs": "!#$%&*+/<=>@[\\]^_`{|}~", "lines": "\n",
+}
 VIEWS, TARGETS = ("words", "meta"), ("quality", "toxic")
 
 
@@ -66,21 +72,19 @@ def views(tokens: DataFrame, counter: CountVectorizerModel, *keep: str) -> DataF
     Any column may be null: a missing text is empty, a missing source or language a value of its own.
     """
     words = F.size("tokens")
-    frame = counter.transform(tokens)
-    length = F.length("text")
+    length, few = F.length("text"), F.col("few")
+    # What is counted is a small part of a text: one pass finds it, and only that is looked through for each kind.
+    others = f"[^{re.escape(''.join(LAYOUT.values()))}]+"
+    frame = counter.transform(tokens.withColumn("few", F.regexp_replace("text", others, "")))
     frame = frame.select(
         *keep, "source", "lang", "counts",
         F.log1p(length.cast("double")).alias("log_size"),
         F.log1p(words.cast("double")).alias("log_words"),
         _share(words, length).alias("word_size"),
         _share(words, F.size(F.array_distinct("tokens"))).alias("distinct_words"),
-        _share(length, length - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÇÑÓÍ", ""))).alias("upper"),
-        _share(length, length - F.length(F.translate("text", "0123456789", ""))).alias("digits"),
-        _share(length, length - F.length(F.translate("text", ".,;:?'\"-()", ""))).alias("marks"),
-        _share(length, length - F.length(F.translate("text", "!#$%&*+/<=>@[\\]^_`{|}~", ""))).alias("signs"),
-        _share(length, length - F.length(F.translate("text", "\n", ""))).alias("lines"),
+        *(_share(length, F.length(few) - F.length(F.translate(few, some, ""))).alias(n) for n, some in LAYOUT.items()),
     )
-    numbers = ["log_size", "log_words", "word_size", "distinct_words", "upper", "digits", "marks", "signs", "lines"]
+    numbers = ["log_size", "log_words", "word_size", "distinct_words", *LAYOUT]
     frame = FeatureHasher(inputCols=["source", "lang"], outputCol="names", numFeatures=META_FEATURES).transform(frame)
     frame = VectorAssembler(inputCols=[*numbers, "names"], outputCol="meta").transform(frame)
     return frame.select(*keep, F.col("counts").alias("words"), "meta")
