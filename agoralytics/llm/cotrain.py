@@ -14,23 +14,23 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, FeatureHasher, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoralytics.llm.bit_filter import drop_ids
 from agoralytics.llm.common import cut_lineage
 
-#: The classifiers are fitted on this many labelled and unlabelled rows at most (expected numbers,
-#: drawn by a hash of the id); every document is scored.
-LABELLED, UNLABELLED = 8_000, 8_000
-#: Rounds of exchange, the share of the unlabelled rows each view may label per class and round, and how sure it has to be.
-ROUNDS, GIVEN, SURE = 2, 0.1, 0.95
+#: The classifiers are fitted on this many labelled rows per target and class at most (an expected number, drawn by a hash of the id).
+LABELLED = 8_000
+#: Rounds of exchange, the share of the unlabelled rows each view may label per class and round, how many
+#: that are at most (the surest of all unlabelled rows of the corpus), and how sure it has to be.
+ROUNDS, GIVEN, MOST_GIVEN, SURE = 2, 0.1, 800, 0.95
 #: Tasks in which the fitted rows are read.
 FIT_TASKS = 2
-#: Words that count, the most frequent of those rows; the fitted models stay as small however large the corpus is.
-WORDS, META_FEATURES = 20_000, 1 << 8
+#: Every word of every text is hashed to one of these; the fitted models stay as small however large the corpus is.
+WORD_FEATURES, META_FEATURES = 1 << 18, 1 << 8
 #: Characters whose shares describe the layout.
 LAYOUT = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÇÑÓÍ", "digits": "0123456789", "marks": ".,;:?'\"-()",
@@ -58,15 +58,7 @@ def tokenised(docs: DataFrame, *keep: str) -> DataFrame:
     return RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}]+").transform(narrow)
 
 
-def vocabulary(tokens: DataFrame) -> CountVectorizerModel:
-    """Which words count, from a bounded sample."""
-    counter = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=WORDS, binary=True)
-    if tokens.where(F.size("tokens") > 0).isEmpty():
-        return CountVectorizerModel.from_vocabulary(["-"], inputCol="tokens", outputCol="counts")
-    return counter.fit(tokens)
-
-
-def views(tokens: DataFrame, counter: CountVectorizerModel, *keep: str) -> DataFrame:
+def views(tokens: DataFrame, *keep: str) -> DataFrame:
     """The two feature vectors, words and meta, of each document; `keep` names columns that stay.
 
     Any column may be null: a missing text is empty, a missing source or language a value of its own.
@@ -75,7 +67,8 @@ def views(tokens: DataFrame, counter: CountVectorizerModel, *keep: str) -> DataF
     length, few = F.length("text"), F.col("few")
     # What is counted is a small part of a text: one pass finds it, and only that is looked through for each kind.
     others = f"[^{re.escape(''.join(LAYOUT.values()))}]+"
-    frame = counter.transform(tokens.withColumn("few", F.regexp_replace("text", others, "")))
+    hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=WORD_FEATURES, binary=True)
+    frame = hashed.transform(tokens.withColumn("few", F.regexp_replace("text", others, "")))
     frame = frame.select(
         *keep, "source", "lang", "counts",
         F.log1p(length.cast("double")).alias("log_size"),
@@ -116,9 +109,9 @@ class Combined:
 def _regression(view: str) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=view, rawPredictionCol=f"raw_{view}", probabilityCol=f"p_{view}", predictionCol=f"guess_{view}",
-        labelCol="label", weightCol="weight", maxIter=12,
+        labelCol="label", weightCol="weight", maxIter=30,
         # Words that say nothing get no weight at all: most words of a corpus are rare.
-        regParam=2e-2 if view == "words" else 1e-4, elasticNetParam=1.0 if view == "words" else 0.0,
+        regParam=5e-3 if view == "words" else 1e-4, elasticNetParam=1.0 if view == "words" else 0.0,
         standardization=view != "words",  # it would make rare words cheap, and wrong labels be learnt by heart
     )
 
@@ -133,48 +126,59 @@ def _weighted(rows: DataFrame) -> DataFrame:
 
 def _line(rows: DataFrame, columns: list[str]) -> tuple[float, ...]:
     """Bias and factors of a logistic regression on a few number columns."""
-    frame = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("x", "label")
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=30, regParam=1e-3).fit(frame)
+    frame = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("x", "label", "share")
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="share", maxIter=30, regParam=1e-3).fit(frame)
     return (model.intercept, *model.coefficients.toArray().tolist())
 
 
-def fit(labelled: DataFrame, unlabelled: DataFrame) -> Combined | None:
-    """Co-trains on labelled(id, words, meta, label) and unlabelled(id, words, meta); None if a class is missing.
-
-    A fifth of the labelled rows is held back for calibration and combination.
+def surest(frame: DataFrame, free: DataFrame, models: dict, most: int) -> dict[str, DataFrame]:
+    """Per view the `most` rows(id, words, meta, label) of each class that it is surest of, of all rows whose id and code are in free."""
+    scored = frame
+    for view in VIEWS:
+        scored = models[view].transform(scored).withColumn(f"q_{view}", vector_to_array(F.col(f"p_{view}"))[1])
+    odds = [F.col(f"q_{view}") for view in VIEWS]
+    sure = scored.select("id", "code", *odds).where(F.greatest(*odds, *(1 - q for q in odds)) >= SURE)
+    # Only ids and probabilities are joined and sorted; the features of the few that win are fetched afterwards.
+    sure = cut_lineage(sure.join(free, ["id", "code"], "left_semi").dropDuplicates(["id"]))
+
+    def label(view: str) -> DataFrame:
+        q = F.col(f"q_{view}")
+        ends = [
+            sure.where(q >= SURE).orderBy(q.desc(), "id").limit(most).withColumn("label", F.lit(1.0)),
+            sure.where(q <= 1 - SURE).orderBy(q, "id").limit(most).withColumn("label", F.lit(0.0)),
+        ]
+        return ends[0].union(ends[1]).select("id", "code", "label", F.lit(view).alias("view"))
+
+    won = cut_lineage(label(VIEWS[0]).union(label(VIEWS[1])).coalesce(1))
+    rows = frame.join(F.broadcast(won), ["id", "code"]).dropDuplicates(["id", "view"])
+    rows = cut_lineage(rows.select("view", "id", *VIEWS, "label").coalesce(FIT_TASKS)).coalesce(1)
+    return {view: rows.where(F.col("view") == view).drop("view") for view in VIEWS}
+
+
+def fit(labelled: DataFrame, frame: DataFrame, free: DataFrame, most: int) -> Combined | None:
+    """Co-trains on labelled(id, words, meta, label, held, share) and those rows of frame(id, code, words, meta)
+    whose id and code are in free; None if a class is missing.
+
+    The held rows serve calibration and combination; share is how many rows of the table one stands for.
     """
-    held = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
-    train, rest = labelled.where(~held), labelled.where(held)
+    train, rest = labelled.where("not held"), labelled.where("held")
     classes = [{r[0] for r in part.select("label").distinct().collect()} for part in (train, rest)]
     if any(c != {0.0, 1.0} for c in classes):
         return None
-    columns = ["id", *VIEWS, "label"]
-    sets = {view: train.select(columns) for view in VIEWS}
-    pool, most = unlabelled, max(1, int(GIVEN * unlabelled.count()))
+    sets = {view: train.select("id", *VIEWS, "label") for view in VIEWS}
     models = {}
     for turn in range(ROUNDS + 1):
         models = _together(lambda view: _regression(view).fit(_weighted(sets[view]).coalesce(FIT_TASKS)), VIEWS)
         if turn == ROUNDS:
             break
-
-        def label(view: str) -> DataFrame:
-            p = vector_to_array(F.col(f"p_{view}"))[1]
-            seen = learnt[view].transform(left).select("id", *VIEWS, p.alias("p"))
-            sure = [
-                seen.where(F.col("p") >= SURE).orderBy(F.desc("p"), "id").limit(most).withColumn("label", F.lit(1.0)),
-                seen.where(F.col("p") <= 1 - SURE).orderBy("p", "id").limit(most).withColumn("label", F.lit(0.0)),
-            ]
-            return cut_lineage(sure[0].union(sure[1]).select(columns)).coalesce(1)
-
-        learnt, left = models, pool
-        given = _together(label, VIEWS)
+        given = surest(frame, free, models, most)
         # Each view learns from what the other one is sure of; nobody labels a row again.
         sets = {"words": sets["words"].union(given["meta"]), "meta": sets["meta"].union(given["words"])}
         used = given["words"].select("id").union(given["meta"].select("id")).distinct()
-        pool = cut_lineage(pool.join(F.broadcast(used), "id", "left_anti")).coalesce(FIT_TASKS)
+        free = free.join(F.broadcast(used), "id", "left_anti")
     for view in VIEWS:
         rest = models[view].transform(rest).withColumn(f"m_{view}", _margin(models[view], view))
-    rest = cut_lineage(rest.select("label", *(f"m_{v}" for v in VIEWS))).coalesce(1)  # a fifth of a bounded number of rows
+    rest = cut_lineage(rest.select("label", "share", *(f"m_{v}" for v in VIEWS))).coalesce(1)  # a fifth of a bounded number of rows
     calibration = {}
     for view in VIEWS:
         b, a = _line(rest, [f"m_{view}"])
@@ -183,39 +187,51 @@ def fit(labelled: DataFrame, unlabelled: DataFrame) -> Combined | None:
     return Combined(models, calibration, _line(rest, [f"c_{v}" for v in VIEWS]))
 
 
-def _drawn(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """About `most` rows at most, by a hash of the key."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-
+def _drawn(there: DataFrame) -> DataFrame:
+    """Of rows(id, quality, toxic) about LABELLED per target and class at most, by a hash of the id.
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[CountVectorizerModel, dict[str, Combined | None]]:
-    """The words that count, and a model per target from labels(doc_id, quality, toxic); ids with two labels count with the larger."""
+    share_<target> is how many rows of its class a row stands for, null if it isn't drawn for that
+    target; held_<target> marks a fifth of each class, at least one row.
+    """
+    counts = there.groupBy(*TARGETS).count().collect()
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
+    for target in TARGETS:
+        share = F.lit(None).cast("double")
+        for label in (0.0, 1.0):
+            part = min(1.0, LABELLED / max(1, sum(r["count"] for r in counts if r[target] == label)))
+            share = F.when((F.col(target) == label) & (place < round(1_000_000 * part)), 1 / part).otherwise(share)
+        there = there.withColumn(f"share_{target}", share)
+    drawn = there.where(F.coalesce(*(f"share_{t}" for t in TARGETS)).isNotNull())
+    for target in TARGETS:  # a bounded number of ids
+        order = Window.partitionBy(F.when(F.col(f"share_{target}").isNotNull(), F.col(target))).orderBy(F.xxhash64("id", F.lit(5)), "id")
+        drawn = drawn.withColumn(f"held_{target}", F.row_number().over(order) % 5 == 1)
+    return drawn
+
+
+def train(frame: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
+    """A model per target from frame(id, code, words, meta) and labels(doc_id, quality, toxic); ids with two labels count with the larger."""
     known = (
         labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
         .agg(*(F.max(F.col(t).cast("double")).alias(t) for t in TARGETS))
     )
-    narrow = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
-    there = known.join(narrow, "id", "left_semi")
-    chosen = _drawn(there, "id", LABELLED, 1).withColumn("known", F.lit(True))
-    free = _drawn(narrow.join(known, "id", "left_anti"), "id", UNLABELLED, 2)
-    chosen = chosen.unionByName(free.withColumn("known", F.lit(False)), allowMissingColumns=True)
-    picked = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang").join(F.broadcast(cut_lineage(chosen)), "id")
-    tokens = cut_lineage(tokenised(picked.dropDuplicates(["id"]), "id", "known", *TARGETS))
-    counter = vocabulary(tokens)
+    # Of several rows with one id one counts.
+    narrow = frame.where("id is not null").groupBy("id").agg(F.min("code").alias("code"))
+    free = cut_lineage(narrow.join(known, "id", "left_anti"))
+    most = max(1, min(MOST_GIVEN, int(GIVEN * free.count())))
+    chosen = cut_lineage(_drawn(known.join(narrow, "id")))
+    picked = frame.join(F.broadcast(chosen), ["id", "code"]).dropDuplicates(["id"])
     # A bounded number of rows: few tasks per pass of a fit.
-    rows = cut_lineage(views(tokens, counter, "id", "known", *TARGETS).coalesce(FIT_TASKS)).coalesce(FIT_TASKS).cache()
-    unlabelled = rows.where("not known").select("id", *VIEWS)
+    rows = cut_lineage(picked.coalesce(FIT_TASKS)).coalesce(FIT_TASKS).cache()
 
     def learn(target: str) -> Combined | None:
-        labelled = rows.where(F.col("known") & F.col(target).isNotNull()).select("id", *VIEWS, F.col(target).alias("label"))
-        return fit(labelled, unlabelled)
+        labelled = rows.where(F.col(f"share_{target}").isNotNull()).select(
+            "id", *VIEWS, F.col(target).alias("label"), F.col(f"held_{target}").alias("held"), F.col(f"share_{target}").alias("share")
+        )
+        return fit(labelled, frame, free, most)
 
     out = {target: learn(target) for target in TARGETS}
     rows.unpersist()
-    return counter, out
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,8 +242,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score is null and rejects nothing. Any column may be null, rows may repeat, other
     columns don't matter; no rows give no rows.
     """
-    counter, models = train(docs, labels)
-    frame = views(tokenised(docs, "doc_id"), counter, "doc_id")
+    coded = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", F.xxhash64("text", "source", "lang").alias("code"))
+    # Read once per round and target, and once for the scores.
+    frame = cut_lineage(views(tokenised(coded, "id", "code"), "id", "code"))
+    models = train(frame, labels)
+    frame = frame.withColumnRenamed("id", "doc_id")
     for target in TARGETS:
         name = f"p_{target}"
         frame = models[target].score(frame, name) if models[target] else frame.withColumn(name, F.lit(None).cast("double"))

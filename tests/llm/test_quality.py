@@ -37,6 +37,34 @@ def test_held_out(made):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, k in got.items() if k}
 
 
+def test_surest_of_all(spark, monkeypatch, made):
+    """Each word is a feature, and the surest rows are taken from all unlabelled ones."""
+    docs, labels = made
+    words = {f"rare{i}" for i in range(300)}
+    some = spark.createDataFrame([(1, " ".join(words), "en", "s")], "doc_id long, text string, lang string, source string")
+    got = cotrain.views(cotrain.tokenised(some, "doc_id"), "doc_id").first()
+    assert got.words.size == 1 << 18 and got.words.numNonzeros() > 290
+    asked = []
+    inner = cotrain.surest
+    monkeypatch.setattr(cotrain, "surest", lambda frame, free, models, most: asked.append((free.count(), most)) or inner(frame, free, models, most))
+    monkeypatch.setattr(cotrain, "MOST_GIVEN", 5)
+    more = docs.union(docs.where("doc_id % 3 = 0").selectExpr("doc_id + 10000", "text", "lang", "source", "n_chars"))
+    toxic = labels.selectExpr("doc_id", "cast(null as int) AS quality", "toxic")
+    assert cotrain.classify(more, toxic).count() == 1200
+    assert asked[0] == (600, 5) and 0 <= asked[0][0] - asked[1][0] <= 20
+
+
+def test_rare_class(spark, monkeypatch):
+    """A class with few labels is drawn whole from a large table, and both parts have some of it."""
+    monkeypatch.setattr(cotrain, "LABELLED", 200)
+    there = spark.range(20_000).selectExpr("id", "cast(id % 2 AS double) AS quality", "cast(id < 12 AS double) AS toxic")
+    rows = [r for r in cotrain._drawn(there).collect() if r.share_toxic is not None]
+    rare, other = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert len(rare) == 12 and {r.share_toxic for r in rare} == {1.0} and {r.held_toxic for r in rare} == {True, False}
+    assert 140 < len(other) < 260 and {round(r.share_toxic, 6) for r in other} == {19_988 / 200}
+    assert 0.15 < sum(r.held_toxic for r in other) / len(other) < 0.25
+
+
 def test_odd(odd, none, spark):
     labels = spark.createDataFrame([(4, 1, None), (5, None, 0), (None, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = cotrain.classify(odd, labels).collect()
