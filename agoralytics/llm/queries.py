@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from agoralytics.llm import cotrain, golomb_dedup, html_paths, line_winnow, ngram_join, piece_codec, sequence_files, spaced_seeds, suffix_arrays, surrogates
+from agoralytics.llm import (
+    cotrain, fill_middle, golomb_dedup, gray_index, html_paths, line_winnow, ngram_join, piece_codec, resample,
+    sequence_files, spaced_seeds, suffix_arrays, surrogates,
+)
 from agoralytics.llm.common import table
 
 
@@ -51,11 +54,23 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, folder, "documents")))
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_gray_index(spark: SparkSession, folder: str) -> DataFrame:
+    return gray_index.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_paths, op2_suffix_arrays, op3_line_winnow, op4_surrogates, op5_cotrain,
-        op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join,
+        op6_piece_codec, op7_sequence_files, op8_spaced_seeds, op9_golomb_dedup, op10_ngram_join, op11_fill_middle, op12_resample, op13_gray_index,
     )
 }
 
@@ -69,4 +84,5 @@ ORACLES = {
             doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY body)
     """,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
