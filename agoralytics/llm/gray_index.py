@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     labels = components(link(classes.select("mark"), radius, group))
     firsts = labels.join(classes.withColumnRenamed("mark", "id"), "id").groupBy("label").agg(F.min("first").alias("component_id"))
     parts = labels.join(firsts, "label").select(F.col("id").alias("mark"), "component_id")
-    named = classes.join(parts, "mark", "left").select("mark", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that both sides of the last join are plain shuffles and a mark that many rows have is split.
+    named = cut_lineage(classes.join(parts, "mark", "left").select("mark", F.coalesce("component_id", "first").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("mark"), 16, "0"))
     return signed.join(named, "mark").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
