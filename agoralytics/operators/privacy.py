@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions import text as tx
+from agoralytics.operators.names import ENTITIES, find_names
 from agoralytics.operators.ordering import position
-from agoralytics.session import broadcast_if_small, cut_lineage
+from agoralytics.operators.tagger import Tagger
+from agoralytics.session import cut_lineage
 
 # Fixed value: the pattern of mail addresses; only its word edges are spelled out,
 # because `\b` of Java knows ASCII only.
@@ -25,13 +27,6 @@ PLACEHOLDER = r"\[ENTITY_[A-Za-z]+_[0-9]+\]"
 
 PATTERNS = {"URL": URL, "EMAIL": EMAIL, "LITERAL": PLACEHOLDER}
 
-# Words of a name that are looked up together.
-NAME_WORDS = (1, 2, 3)
-
-# Names up to which the gazetteer is broadcast.
-BROADCAST_NAMES = 500_000
-
-
 # ids -------------------------------------------------------------------------
 
 
@@ -65,96 +60,19 @@ def pseudonymize(df: DataFrame, names: DataFrame, column: str = "poster_id") ->
 # entities --------------------------------------------------------------------
 
 
-def gazetteer_terms(
-    texts: DataFrame,
-    gazetteer: DataFrame,
-    key: str,
-    column: str,
-    name_words: Sequence[int] = NAME_WORDS,
-) -> DataFrame:
-    """(key, term, type): the listed names whose words follow each other in a text.
-
-    A name that is listed under several types has the first of them.
-    """
-    gazetteer = gazetteer.groupBy("term").agg(F.min("type").alias("type"))
-    found = texts.select(
-        key, F.regexp_extract_all(column, F.lit(rf"[{tx.WORD}]+"), F.lit(0)).alias("_words")
-    )
-    def runs(n: int) -> Column:
-        joined = F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (n - 1)),
-            lambda i: F.array_join(F.slice("_words", i, n), " "),
-        )
-        return F.when(F.size("_words") >= n, joined).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    return (
-        found.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in name_words]))).alias("term"))
-        .join(broadcast_if_small(gazetteer.select("term", "type"), BROADCAST_NAMES), "term")
-        .select(key, "term", "type")
+def _by_form(texts: DataFrame, column: str, patterns: Mapping[str, str]) -> DataFrame:
+    """Adds `entities` and `_gaps`, the text between them, for what patterns can tell."""
+    pattern = F.lit("|".join(f"(?:{p})" for p in patterns.values()))
+    found = texts.withColumn("_hits", F.regexp_extract_all(column, pattern, F.lit(0))).withColumn(
+        "_gaps", F.split(F.col(column), pattern, -1)
     )
-
-
-def _quoted(term: Column) -> Column:
-    return F.regexp_replace(term, r"([\\\[\](){}.*+?^$|])", r"\\$1")
-
-
-def with_entities(
-    texts: DataFrame,
-    key: str,
-    column: str,
-    gazetteer: DataFrame | None = None,
-    patterns: Mapping[str, str] = PATTERNS,
-    name_words: Sequence[int] = NAME_WORDS,
-) -> DataFrame:
-    """Adds `entities`, an array of (type, start, end, text) without overlaps.
-
-    Positions count characters from 0. Of overlapping entities the one that
-    starts first wins, then the longest. Names come from the gazetteer
-    (term, type), one type per term; each text is searched for its own names only.
-    """
-    by_form = "|".join(f"(?:{p})" for p in patterns.values()) or None
-    if gazetteer is None:
-        searched = texts.withColumn("_names", F.lit(None).cast("map<string,string>"))
-    else:
-        terms = gazetteer_terms(texts, gazetteer, key, column, name_words)
-        names = terms.groupBy(key).agg(
-            F.map_from_entries(F.collect_set(F.struct("term", "type"))).alias("_names")
-        )
-        searched = texts.join(names, key, "left")
-    longest_first = F.array_sort(
-        F.map_keys("_names"),
-        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
-        .when(a < b, -1)
-        .when(a > b, 1)
-        .otherwise(0),
-    )
-    names_pattern = F.concat(
-        F.lit(rf"(?<![{tx.WORD}])(?:"),
-        F.array_join(F.transform(longest_first, _quoted), "|"),
-        F.lit(rf")(?![{tx.WORD}])"),
-    )
-    pattern = F.nullif(F.concat_ws("|", F.lit(by_form), names_pattern), F.lit(""))
-    searched = searched.withColumn("_pattern", pattern)
-    found = searched.withColumn(
-        "_hits", F.regexp_extract_all(column, F.col("_pattern"), F.lit(0))
-    ).withColumn("_gaps", F.split(F.col(column), F.col("_pattern"), -1))
-
     kind = lambda hit: F.coalesce(
-        F.try_element_at("_names", hit),
-        *[
-            F.when(hit.rlike(rf"^(?:{p})\z"), F.lit(name))
-            for name, p in _whole_patterns(patterns).items()
-        ],
+        *[F.when(hit.rlike(rf"^(?:{p})\z"), F.lit(name)) for name, p in _whole_patterns(patterns).items()]
     )
     zipped = F.arrays_zip(F.col("_gaps").alias("gap"), F.col("_hits").alias("hit"))
     entities = F.aggregate(
         F.filter(zipped, lambda z: z["hit"].isNotNull()),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<type:string,start:int,end:int,text:string>>").alias("out"),
-        ),
+        F.struct(F.lit(0).alias("at"), F.array().cast(ENTITIES).alias("out")),
         lambda acc, z: F.struct(
             (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("at"),
             F.array_append(
@@ -169,8 +87,53 @@ def with_entities(
         ),
         lambda acc: acc["out"],
     )
-    no_entities = F.array().cast("array<struct<type:string,start:int,end:int,text:string>>")
-    return found.withColumn("entities", F.coalesce(entities, no_entities)).drop("_names", "_pattern", "_hits", "_gaps")
+    return found.withColumn("entities", F.coalesce(entities, F.array().cast(ENTITIES))).drop("_hits")
+
+
+def _found(
+    texts: DataFrame, key: str, column: str, gazetteer: DataFrame | None, patterns: Mapping[str, str], tagger: Tagger | None = None
+) -> DataFrame:
+    """Adds `entities`, `_gaps` (the text around them) and `_numbers` (how often each one's type still comes from there on)."""
+    if patterns:
+        found = _by_form(texts, column, patterns)
+    else:
+        found = texts.withColumn("entities", F.array().cast(ENTITIES)).withColumn("_gaps", F.array(F.col(column)))
+    if gazetteer is not None:
+        found = find_names(found, gazetteer, key, column, "entities", "_named")
+    if tagger is not None:
+        given = found if gazetteer is None else found.withColumn("entities", F.col("_named.entities"))
+        found = tagger.add_entities(given, column, "entities", "_named")
+    if gazetteer is None and tagger is None:
+        rest = F.transform(
+            "entities",
+            lambda e, i: F.size(F.filter(F.slice("entities", i + 1, F.size("entities")), lambda x: x["type"] == e["type"])),
+        )
+        return found.withColumn("_numbers", rest)
+    return found.withColumns(
+        {
+            "entities": F.coalesce("_named.entities", F.array().cast(ENTITIES)),
+            "_gaps": F.col("_named.gaps"),
+            "_numbers": F.coalesce("_named.numbers", F.array().cast("array<int>")),
+        }
+    ).drop("_named")
+
+
+def with_entities(
+    texts: DataFrame,
+    key: str,
+    column: str,
+    gazetteer: DataFrame | None = None,
+    patterns: Mapping[str, str] = PATTERNS,
+    tagger: Tagger | None = None,
+) -> DataFrame:
+    """Adds `entities`, an array of (type, start, end, text) without overlaps.
+
+    Positions count characters from 0. Of overlapping entities the one that
+    starts first wins; at one place what a pattern found, then the longest name. Names come
+    from the gazetteer (term, type), one type per term, in any case and with any
+    white space between their words, and then from a trained tagger.
+    """
+    return _found(texts, key, column, gazetteer, patterns, tagger).drop("_gaps", "_numbers")
 
 
 def _whole_patterns(patterns: Mapping[str, str]) -> dict[str, str]:
@@ -184,10 +147,11 @@ def extract_entities(
     column: str,
     gazetteer: DataFrame | None = None,
     patterns: Mapping[str, str] = PATTERNS,
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """One row per entity: (key, type, start, end, text)."""
     return (
-        with_entities(texts, key, column, gazetteer, patterns)
+        with_entities(texts, key, column, gazetteer, patterns, tagger)
         .select(key, F.explode("entities").alias("e"))
         .select(key, "e.type", "e.start", "e.end", "e.text")
     )
@@ -202,54 +166,29 @@ def mask_text(
     column: str,
     gazetteer: DataFrame | None = None,
     patterns: Mapping[str, str] = PATTERNS,
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """Adds `masked` and `mask_map`, and keeps `entities`.
 
     Each entity becomes [ENTITY_<type>_<n>], where n counts the entities of the
     type from the end of the text; the map leads back from placeholder to text.
     """
-    found = with_entities(texts, key, column, gazetteer, patterns)
-    size = F.size("entities")
-    placeholder = lambda e, i: F.concat(
-        F.lit("[ENTITY_"),
-        e["type"],
-        F.lit("_"),
-        F.size(
-            F.filter(F.slice("entities", i + 1, size), lambda x: x["type"] == e["type"])
-        ).cast("string"),
-        F.lit("]"),
-    )
-    pieces = F.transform(
-        "entities",
-        lambda e, i: F.concat(
-            F.substring(
-                F.col(column),
-                F.when(i > 0, F.try_element_at("entities", i)["end"]).otherwise(0) + 1,
-                e["start"] - F.when(i > 0, F.try_element_at("entities", i)["end"]).otherwise(0),
-            ),
-            F.col("_marks")[i],
-        ),
-    )
-    tail = F.substring(
-        F.col(column), F.element_at("entities", -1)["end"] + 1, F.length(column)
+    found = _found(texts, key, column, gazetteer, patterns, tagger)
+    no_text = F.array().cast("array<string>")
+    marks = F.transform(
+        F.arrays_zip("entities", "_numbers"),
+        lambda z: F.concat(F.lit("[ENTITY_"), z["entities"]["type"], F.lit("_"), z["_numbers"].cast("string"), F.lit("]")),
     )
+    # There is one gap more than there are marks.
+    joined = F.array_join(F.zip_with("_gaps", "_marks", lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")
     return (
-        found.withColumn("_marks", F.transform("entities", placeholder))
-        .withColumn(
-            "masked",
-            F.when(size > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(column)),
-        )
+        found.withColumn("_marks", marks)
+        .withColumn("masked", F.when(F.size("entities") > 0, joined).otherwise(F.col(column)))
         .withColumn(
             "mask_map",
-            F.map_from_arrays(
-                F.coalesce("_marks", F.array().cast("array<string>")),
-                F.coalesce(
-                    F.transform("entities", lambda e: e["text"]),
-                    F.array().cast("array<string>"),
-                ),
-            ),
+            F.map_from_arrays(F.coalesce("_marks", no_text), F.coalesce(F.transform("entities", lambda e: e["text"]), no_text)),
         )
-        .drop("_marks")
+        .drop("_marks", "_gaps", "_numbers")
     )
 
 
@@ -280,22 +219,20 @@ def mask_with_review(
     column: str,
     gazetteer: DataFrame | None = None,
     patterns: Mapping[str, str] = PATTERNS,
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """Adds <column>_anon, and `entities` and `mask_map` of both passes.
 
     Links and mail addresses are masked first; then mentions lose their `@`, so
-    that the names in them are found by the gazetteer. Positions of names count in
-    the text that the first pass left.
+    that the names in them are found by the gazetteer or the tagger. Positions of names
+    count in the text that the first pass left.
     """
     anon = f"{column}_anon"
     out = mask_text(df, key, column, None, patterns).withColumn(anon, tx.plain_mentions("masked"))
-    if gazetteer is None:
+    if gazetteer is None and tagger is None:
         return out.drop("masked")
-    # Read twice: for the names of each text and for the masking itself.
-    out = cut_lineage(
-        out.withColumnsRenamed({"entities": "_by_form", "mask_map": "_form_map"}).drop("masked")
-    )
-    named = mask_text(out, key, anon, gazetteer, {})
+    out = out.withColumnsRenamed({"entities": "_by_form", "mask_map": "_form_map"}).drop("masked")
+    named = mask_text(out, key, anon, gazetteer, {}, tagger)
     return (
         named.withColumn(anon, F.col("masked"))
         .withColumn("entities", F.concat("_by_form", "entities"))
@@ -311,13 +248,14 @@ def mask_columns(
     gazetteer: DataFrame | None = None,
     replace_original: bool = True,
     patterns: Mapping[str, str] = PATTERNS,
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """Masks several columns, in place or as `<column>_anon`; absent ones are skipped."""
     out = df
     for column in columns:
         if column not in df.columns:
             continue
-        out = mask_with_review(out, key, column, gazetteer, patterns).drop("entities", "mask_map")
+        out = mask_with_review(out, key, column, gazetteer, patterns, tagger).drop("entities", "mask_map")
         if replace_original:
             out = out.withColumn(column, F.col(f"{column}_anon")).drop(f"{column}_anon")
     return out

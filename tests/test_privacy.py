@@ -86,3 +86,39 @@ def test_rows_without_a_poster_have_no_part(spark):
 
     rows = user_split(spark.createDataFrame([(1,), (None,)], "poster_id long")).collect()
     assert {r.poster_id: r.split is None for r in rows} == {1: False, None: True}
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("JAN belt jan  de\n boer op", ["JAN", "jan  de\n boer"]),
+        ("Jan de Boer de Wit", ["Jan de Boer", "de Wit"]),  # names that overlap: the first start, then the longest
+        ("jan de wit", ["jan", "de wit"]),
+        ("O'BRIEN o' brien O’Brien", ["O'BRIEN"]),
+        ("İJan Janus jan_ _jan x-jan-y", ["jan"]),
+        ("http://x.nl/jan jan", ["http://x.nl/jan", "jan"]),
+        ("Jan@x.nl", ["Jan@x.nl"]),
+        ("", []), (None, []), (" \n", []),
+    ],
+)
+@pytest.mark.parametrize("limit", [None, 0])
+def test_folded_names(spark, monkeypatch, text, found, limit):
+    """The list sent to every task and the list that is joined find the same."""
+    if limit is not None:
+        monkeypatch.setattr("agoralytics.operators.names.BROADCAST_NAMES", limit)
+    names = [("Jan", "PERSON"), ("jan de  Boer", "PERSON"), ("De Wit", "PERSON"), ("Boer", "ORG"), (" O'Brien ", "PERSON"), ("!", "ORG"), (None, "ORG"), ("x", None)]
+    texts = spark.createDataFrame([(1, text), (2, text)], "id long, t string")
+    gazetteer = spark.createDataFrame(names, "term string, type string")
+    rows = privacy.mask_text(texts, "id", "t", gazetteer).withColumn("back", privacy.unmask("masked", "mask_map")).collect()
+    assert len(rows) == 2
+    for row in rows:
+        assert [e.text for e in row.entities] == found and row.back == text
+        assert all(text[e.start : e.end] == e.text for e in row.entities)
+
+
+def test_names_are_scanned_once(spark):
+    """A filter on what is found does not run the scan a second time below it."""
+    texts = spark.createDataFrame([(1, "jan")], "id long, t string")
+    gazetteer = spark.createDataFrame([("jan", "PERSON")], "term string, type string")
+    plan = privacy.extract_entities(texts, "id", "t", gazetteer, {})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
