@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from agoralytics.catalog.base import SAMPLE, Stages, oracle, tokens_sql, words_sql
 from agoralytics.functions import text as tx
 from agoralytics.functions.values import id_number, parse_date
-from agoralytics.operators import filters, labels, mapping, reports, sampling, threads
+from agoralytics.operators import filters, labels, languages, mapping, reports, sampling, threads
 
 # Stop words of the test documents' languages.
 STOP_WORDS = {
@@ -67,6 +67,22 @@ def detect_language(spark, folder):
     return filters.detect_language(d, "text", STOP_WORDS).select("doc_id", "language")
 
 
+def language_profiles(spark, folder):
+    return languages.language_profiles(Stages(spark, folder).table("documents"), "text", "lang")
+
+
+def detect_language_by_profiles(spark, folder):
+    d = Stages(spark, folder).table("documents")
+    profiles = languages.language_profiles(d, "text", "lang")
+    return languages.detect_by_profiles(d, "text", profiles).select("doc_id", "language")
+
+
+def language_filter_by_profiles(spark, folder):
+    d = Stages(spark, folder).table("documents")
+    profiles = languages.language_profiles(d, "text", "lang")
+    return languages.language_filter(d, "text", profiles, "fr").select("doc_id", "lang")
+
+
 def community_filter(spark, folder):
     s = Stages(spark, folder)
     return mapping.community_filter(s.forum.messages, s.account_map).select("message_id", "topic_id")
@@ -201,6 +217,29 @@ _LANGUAGE = {
             SELECT * FROM votes QUALIFY row_number() OVER (
                 PARTITION BY doc_id ORDER BY n DESC, language) = 1) v USING (doc_id)""",
 }
+_PROFILES = {
+    "own_words": r"""
+        SELECT doc_id, lang, word, count(*) AS n
+        FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)
+        GROUP BY doc_id, lang, word""",
+    "own_grams": """
+        SELECT doc_id, lang, gram, sum(n) AS n
+        FROM (SELECT doc_id, lang, n, unnest([substr(' ' || word || ' ', i, 3) FOR i IN range(1, length(word) + 1)]) AS gram
+              FROM own_words)
+        GROUP BY doc_id, lang, gram""",
+    "best_grams": f"""
+        SELECT gram FROM own_grams WHERE lang IS NOT NULL GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {languages.KEPT}""",
+    "gram_counts": """
+        SELECT lang AS language, gram, sum(n) AS n FROM own_grams JOIN best_grams USING (gram)
+        WHERE lang IS NOT NULL GROUP BY lang, gram""",
+    "profiles": f"""
+        SELECT t.language, b.gram, floor(1000 * ln((coalesce(c.n, 0) + 1)::DOUBLE / (t.total + {languages.KEPT})::DOUBLE))::BIGINT AS weight
+        FROM best_grams b CROSS JOIN (SELECT language, sum(n) AS total FROM gram_counts GROUP BY language) t
+        LEFT JOIN gram_counts c ON c.language = t.language AND c.gram = b.gram""",
+    "guesses": """
+        SELECT doc_id, p.language FROM own_grams g JOIN profiles p USING (gram) GROUP BY doc_id, p.language
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(g.n * p.weight) DESC, p.language) = 1""",
+}
 _EDGE = r"[^\p{L}\p{N}_]"
 _ROLES = """
     SELECT *, CASE WHEN replies_given = 0 THEN 'poster_only'
@@ -214,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_dates, id_numbers, drop_empty_rows, min_word_filter, language_filter,
-        detect_language, community_filter, term_search, short_initial_posts,
+        detect_language, language_profiles, detect_language_by_profiles, language_filter_by_profiles, community_filter, term_search, short_initial_posts,
         short_messages, topic_account_map, topic_group_map, remove_superusers,
         remove_moderators, attach_group, filter_intro_groups, thread_structure,
         thread_success, filter_short_threads, self_reply_flag, user_cap_sample,
@@ -244,6 +283,13 @@ ORACLES = {
     "language_filter": oracle(
         "SELECT doc_id, lang FROM detected WHERE language = 'fr'", **_LANGUAGE
     ),
+    "language_profiles": oracle("SELECT language, gram, weight FROM profiles", **_PROFILES),
+    "detect_language_by_profiles": oracle(
+        "SELECT doc_id, coalesce(g.language, 'unknown') AS language FROM documents LEFT JOIN guesses g USING (doc_id)", **_PROFILES
+    ),
+    "language_filter_by_profiles": oracle(
+        "SELECT doc_id, lang FROM documents JOIN guesses g USING (doc_id) WHERE g.language = 'fr'", **_PROFILES
+    ),
     "detect_language": oracle("SELECT doc_id, language FROM detected", **_LANGUAGE),
     "community_filter": oracle(
         "SELECT message_id, topic_id FROM posts JOIN account_map USING (topic_id) "

@@ -21,11 +21,12 @@ from agoralytics.config import (
 )
 from agoralytics.functions import text as tx
 from agoralytics.functions.values import parse_date
-from agoralytics.operators import filters, labels, mapping, models, privacy, reports, sampling, threads
+from agoralytics.operators import filters, labels, languages, mapping, models, privacy, reports, sampling, threads
 from agoralytics.operators.features import feature_columns, feature_table
 from agoralytics.operators.lexicon import lexicon_scores
 from agoralytics.operators.metrics import confusion_matrix, subgroup_f1
 from agoralytics.operators.split import user_split
+from agoralytics.operators.tagger import Tagger
 from agoralytics.session import cut_lineage
 from agoralytics.sources.forum import ForumTables
 
@@ -73,13 +74,16 @@ def preprocess(
     min_words: int = MIN_WORDS,
     stop_words: Mapping[str, Sequence[str]] | None = None,
     language: str | None = None,
+    language_profiles: DataFrame | None = None,
+    tagger: Tagger | None = None,
     accounts: Sequence[int] = COMMUNITY_ACCOUNTS,
 ) -> Preprocessed:
     """Superusers and moderators out, texts cleaned and masked, ids replaced.
 
     Integrated messages were filtered upstream and skip the row filters by account
     and moderator. The cleaned messages are written once, because the filters and
-    several branches read them and cleaning is the costly part.
+    several branches read them and cleaning is the costly part. Names come from the
+    gazetteer, the tagger or both; the language from profiles, or else from stop words.
     """
     account_map = mapping.topic_account_map(forum.topics, forum.groups)
     group_map = mapping.topic_group_map(forum.topics, forum.groups)
@@ -92,7 +96,7 @@ def preprocess(
 
     # Links and addresses are masked while they are there; standardising deletes links
     # and collapses ellipses.
-    masked = privacy.mask_with_review(clean_table(messages), "message_id", "message_text", gazetteer)
+    masked = privacy.mask_with_review(clean_table(messages), "message_id", "message_text", gazetteer, tagger=tagger)
     masked = cut_lineage(masked)
     messages = masked.withColumns(
         {
@@ -103,12 +107,15 @@ def preprocess(
     messages = cut_lineage(messages)
     messages = filters.min_word_filter(messages, "message_text", min_words)
     if language is not None:
-        messages = filters.language_filter(messages, "message_text", stop_words or {}, language)
+        if language_profiles is not None:
+            messages = languages.language_filter(messages, "message_text", language_profiles, language)
+        else:
+            messages = filters.language_filter(messages, "message_text", stop_words or {}, language)
 
     pseudonyms = cut_lineage(privacy.pseudonym_map([messages]))
     messages = privacy.pseudonymize(messages, pseudonyms)
     messages = messages.withColumn("message_text_normalized", F.lower("message_text"))
-    topics = privacy.mask_columns(clean_table(forum.topics), "topic_id", ["name"], gazetteer)
+    topics = privacy.mask_columns(clean_table(forum.topics), "topic_id", ["name"], gazetteer, tagger=tagger)
 
     community = messages
     if not forum.integrated:
