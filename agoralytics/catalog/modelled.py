@@ -152,6 +152,17 @@ def tree_importance(spark, folder):
     return models.tree_importance(spark, model, data.features)
 
 
+def tree_contributions(spark, folder):
+    """Mean absolute contributions per feature of both kinds of trees."""
+    data = _prepared(spark, folder)
+    out = None
+    for name in (models.FOREST, models.BOOSTED):
+        model = models.fit(name, data.balanced, data.rows)
+        found = models.tree_contributions(model, data.test, data.features).withColumn("model", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def subgroup_f1_of_model(spark, folder):
     data = _prepared(spark, folder)
     model = models.fit(models.LOGISTIC, data.balanced, data.rows)
@@ -185,7 +196,7 @@ QUERIES = {
         for f in (
             smote, smote_counts, nearest_neighbours, model_comparison, results_summary,
             cv_scores, cv_scores_filled_before, subtype_cv, grid_search, linear_importance,
-            tree_importance, subgroup_f1_of_model, community_messages, messages_structured,
+            tree_importance, tree_contributions, subgroup_f1_of_model, community_messages, messages_structured,
         )
     },
 }

@@ -6,12 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     CountVectorizer,
     ElementwiseProduct,
@@ -30,18 +25,21 @@ from pyspark.sql import functions as F
 
 from agoralytics.config import SEED, SELECTED_FEATURES
 from agoralytics.functions.text import WORD
+from agoralytics.operators import contributions
 from agoralytics.operators.balance import smote
+from agoralytics.operators.boosting import Boosted, Booster
 from agoralytics.operators.features import anova_scores
+from agoralytics.operators.hinge import HingeModel, SquaredHinge
 from agoralytics.operators.metrics import macro_metrics
 from agoralytics.operators.split import cv_folds, with_weights
 from agoralytics.session import cut_lineage
 
-MAJORITY = "Dummy (majority)"
-TFIDF_LR = "LR + TF-IDF (text baseline)"
-LOGISTIC = "Logistic Regression"
-SVM = "Linear SVM"
-FOREST = "Random Forest"
-BOOSTED = "Gradient-boosted trees"
+MAJORITY = "majority"
+TFIDF_LR = "tfidf_logistic"
+LOGISTIC = "logistic"
+SVM = "linear_svm"
+FOREST = "forest"
+BOOSTED = "boosted_trees"
 MODELS = (MAJORITY, TFIDF_LR, LOGISTIC, SVM, FOREST, BOOSTED)
 
 
@@ -147,21 +145,14 @@ def estimator(name: str, rows: int, text: str = "text_normalized", c: float = 1.
     if name == LOGISTIC:
         return Pipeline(stages=[scaled, _logistic(rows, "scaled", 5000, False, c)])
     if name == SVM:
-        svm = LinearSVC(
-            featuresCol="scaled", labelCol="target", weightCol="weight",
-            maxIter=100, tol=1e-4, regParam=1.0 / (c * max(rows, 1)), standardization=False,
-        )
-        return Pipeline(stages=[scaled, svm])
+        return SquaredHinge(c)
     if name == FOREST:
         return RandomForestClassifier(
             labelCol="target", weightCol="weight", numTrees=200, maxDepth=5,
             minInstancesPerNode=5, seed=SEED,
         )
     if name == BOOSTED:
-        return GBTClassifier(
-            labelCol="target", maxIter=200, maxDepth=3, stepSize=0.05,
-            subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=5, seed=SEED,
-        )
+        return Booster()
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -319,11 +310,11 @@ def grid_search(
 # explanation -----------------------------------------------------------------
 
 
-def linear_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def linear_importance(model: PipelineModel | HingeModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean absolute contribution |w * (x - mean x)| per feature over the scored rows."""
-    classifier = model.stages[-1]
-    scaled = model.transform(rows).select(vector_to_array("scaled").alias("x"))
-    weights = [float(w) for w in classifier.coefficients]
+    own = isinstance(model, HingeModel)
+    scaled = model.transform(rows).select((F.col("scaled") if own else vector_to_array("scaled")).alias("x"))
+    weights = [float(w) for w in (model if own else model.stages[-1]).coefficients]
     means = scaled.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(weights))]).head()
     values = scaled.agg(
         *[
@@ -346,6 +337,12 @@ def tree_importance(
     ).orderBy(F.col("importance").desc(), "feature")
 
 
+def tree_contributions(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Mean absolute contribution per feature of a forest or of boosted trees over the scored rows."""
+    leaves = contributions.boosted_leaves(model) if isinstance(model, Boosted) else contributions.forest_leaves(model, rows)
+    return contributions.mean_contributions(rows, leaves, features)
+
+
 # informational and emotional support -----------------------------------------
 
 

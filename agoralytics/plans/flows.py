@@ -255,7 +255,7 @@ def model_threads(
     if best in (models.LOGISTIC, models.SVM):
         importance = models.linear_importance(trained[best], data.test, data.features)
     elif best in (models.FOREST, models.BOOSTED):
-        importance = models.tree_importance(table.sparkSession, trained[best], data.features)
+        importance = models.tree_contributions(trained[best], data.test, data.features)
     else:
         importance = None
     return ModelReport(
