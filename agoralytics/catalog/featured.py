@@ -34,9 +34,11 @@ def tfidf_terms(spark, folder):
 
 
 def anova_scores(spark, folder):
-    posts = features.structural_features(Stages(spark, folder).labelled)
-    scores = features.anova_scores(posts, features.STRUCTURAL, keep=3)
-    return scores.withColumn("f_score", F.round("f_score", 4))
+    """All features of the feature table, against the label of the thread."""
+    posts = cut_lineage(Stages(spark, folder).labelled.select("topic_id", "poster_id", "text_normalized", "thread_label"))
+    table = cut_lineage(features.feature_table(posts, lexicon.lexicon_scores(posts, _entries(spark), CATEGORIES)))
+    scores = features.anova_scores(table, features.feature_columns(table))
+    return scores.withColumn("f_score", F.round("f_score", 4)).withColumn("p_value", F.round("p_value", 6))
 
 
 def user_split(spark, folder):
@@ -166,13 +168,25 @@ def _macro_sql(source: str, by: str = "") -> str:
 
 def _anova(feature: str) -> str:
     return f"""
-        SELECT '{feature}' AS feature,
+        SELECT '{feature}' AS feature, sum(n) - count(*) AS free,
                CASE WHEN sum(n * v) > 0 THEN
                    (sum(n * (m - g) * (m - g)) / (count(*) - 1))
                    / (sum(n * v) / (sum(n) - count(*))) END AS f_score
-        FROM (SELECT count(*) AS n, avg({feature}) AS m, var_pop({feature}) AS v,
-                     (SELECT avg({feature}) FROM features) AS g
-              FROM features GROUP BY thread_label)"""
+        FROM (SELECT count(*) AS n, avg("{feature}") AS m, var_pop("{feature}") AS v,
+                     (SELECT avg("{feature}") FROM table_rows) AS g
+              FROM table_rows GROUP BY thread_label)"""
+
+
+# There are two labels: the F value is the square of a t value, whose tail is an integral of powers of a cosine.
+_TAIL_STEPS = 20_000
+_P_VALUE = f"""
+    SELECT feature, any_value(f_score) AS f_score,
+           sum(CASE WHEN k % 2 = 1 THEN 4 WHEN k IN (0, {_TAIL_STEPS}) THEN 1 ELSE 2 END
+               * cos(a + (pi() / 2 - a) * k / {_TAIL_STEPS}) ** (free - 1)) * (pi() / 2 - a)
+           / sum(CASE WHEN k % 2 = 1 THEN 4 WHEN k IN (0, {_TAIL_STEPS}) THEN 1 ELSE 2 END
+               * cos(pi() / 2 * k / {_TAIL_STEPS}) ** (free - 1)) / (pi() / 2) AS p_value
+    FROM (SELECT *, atan(sqrt(f_score / free)) AS a FROM scored), range({_TAIL_STEPS} + 1) AS r(k)
+    GROUP BY feature, a"""
 
 
 QUERIES = {
@@ -199,11 +213,16 @@ ORACLES = {
         **_TERMS,
     ),
     "anova_scores": oracle(
-        """SELECT feature, round(f_score, 4) AS f_score, rank, rank <= 3 AS selected
+        """SELECT feature, round(f_score, 4) AS f_score, round(p_value, 6) AS p_value, rank, rank <= 25 AS selected
            FROM (SELECT *, row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank
-                 FROM scored)""",
+                 FROM tested)""",
         features=_FEATURES,
-        scored=" UNION ALL ".join(_anova(f) for f in features.STRUCTURAL),
+        **_NORMAL_TABLES,
+        table_rows='SELECT f.*, s.WC AS "feat_liwc_WC", '
+        + ", ".join(f's."{c}" AS "feat_liwc_{c}"' for c in CATEGORIES.values())
+        + " FROM features f JOIN labelled l USING (topic_id) JOIN doc_scores s USING (doc_id)",
+        scored=" UNION ALL ".join(_anova(f) for f in (*features.STRUCTURAL, "feat_liwc_WC", *(f"feat_liwc_{c}" for c in CATEGORIES.values()))),
+        tested=_P_VALUE,
     ),
     "user_split": oracle(
         f"SELECT topic_id, poster_id, CASE WHEN {unit_sql('poster_id')} < 0.70 THEN 'train' "

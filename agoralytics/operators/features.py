@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agoralytics.config import SELECTED_FEATURES, TOP_LEVEL_CATEGORIES
 from agoralytics.functions import text as tx
+from agoralytics.functions.values import f_test
 
 # Names of the structural features.
 STRUCTURAL = (
@@ -75,7 +76,7 @@ def anova_scores(
     label: str = "thread_label",
     keep: int = SELECTED_FEATURES,
 ) -> DataFrame:
-    """ANOVA F value per feature, and whether it is among the best `keep`.
+    """ANOVA F value per feature, its p-value, and whether it is among the best `keep`.
 
     One aggregation gives size, mean and variance per class and feature; the rest
     is arithmetic on that small table. A constant feature has no F value and
@@ -126,10 +127,12 @@ def anova_scores(
             (F.col("within") > 0) & (free_between > 0) & (free_within > 0),
             (between / free_between) / (F.col("within") / free_within),
         ).alias("f_score"),
-    )
+        free_between.alias("free_between"),
+        free_within.alias("free_within"),
+    ).withColumn("p_value", f_test(F.col("f_score"), F.col("free_between"), F.col("free_within")))
     best_first = Window.orderBy(F.col("f_score").desc_nulls_last(), "feature")
     return scored.withColumn("rank", F.row_number().over(best_first).cast("long")).select(
-        "feature", "f_score", "rank", (F.col("rank") <= keep).alias("selected")
+        "feature", "f_score", "p_value", "rank", (F.col("rank") <= keep).alias("selected")
     )
 
 

@@ -131,3 +131,30 @@ def test_offsets_are_turned_to_utc(one):
     assert one(parse_date, "2024-05-01T10:00:00Z") == datetime(2024, 5, 1, 10)
     assert one(parse_date, "2024-05-01 10:00:00") == datetime(2024, 5, 1, 10)
     assert one(parse_date, "2024-05-01") == datetime(2024, 5, 1)
+
+
+def test_offsets_when_summer_time_ends(spark):
+    """Two instants an hour apart stay an hour apart, whatever zone the session has."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+        texts = ["2022-10-30 00:30:00Z", "2022-10-30 01:30:00Z", "2022-10-30T03:30:00+02:00", "1969-12-31 23:59:59.25Z", "2022-10-30 02:30:00"]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_date("t").alias("d")).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [str(r.d) for r in rows] == [
+        "2022-10-30 00:30:00", "2022-10-30 01:30:00", "2022-10-30 01:30:00", "1969-12-31 23:59:59.250000", "2022-10-30 02:30:00",
+    ]
+
+
+def test_f_test(spark):
+    """Critical values as printed in tables of the F distribution, and closed forms."""
+    from pyspark.sql import functions as F
+
+    from agoralytics.functions.values import f_test
+
+    rows = [(4.9646, 1, 10, 0.05), (3.3158, 2, 30, 0.05), (6.6349, 1, 100_000_000, 0.01), (0.0, 1, 10, 1.0), (1.0, 7, 7, 0.5), (161.4476, 1, 1, 0.05)]
+    rows += [(f, 2, n, (1 + 2 * f / n) ** (-n / 2)) for f in (0.1, 1.0, 5.0, 80.0) for n in (2, 10, 400)]  # two degrees: a power
+    frame = spark.createDataFrame(rows, "f double, a int, b int, want double")
+    for r in frame.withColumn("p", f_test(F.col("f"), F.col("a"), F.col("b"))).collect():
+        assert abs(r.p - r.want) < (1e-6 if r.a == 2 and r.b != 30 else 2e-6), r
