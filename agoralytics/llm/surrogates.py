@@ -85,7 +85,8 @@ def canon(kind: Column, raw: Column) -> Column:
     """What all ways to write one entity have in common."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
     return (
-        F.when(kind == "PHONE", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
+        F.when((kind == "PHONE") & raw.startswith("+"), digits)
+        .when(kind == "PHONE", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
         .when(kind.isin("CARD", "SSN"), digits)
         .when(kind == "IBAN", F.regexp_replace(raw, " ", ""))
         .when(kind == "SECRET", raw)
@@ -115,6 +116,7 @@ def _check_digit(digits: Column) -> Column:
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     """The replacement of a canonical entity at an attempt: letters for letters, digits for digits, in the same case and script."""
     hexadecimal = entity.rlike(r"^\p{XDigit}+$")
+    later, late = attempt >= 1, attempt >= 8
 
     def like(text: Column, base_hex: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -128,11 +130,18 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
                 .when(base_hex & c.rlike("^[a-f]$"), letter(97, 6)).when(base_hex & c.rlike("^[A-F]$"), letter(65, 6))
                 .when(c.rlike(r"^\p{IsCyrillic}$"), F.when(c == F.lower(c), letter(0x430, 32)).otherwise(letter(0x410, 32)))
                 .when(c.rlike(r"^\p{L}$"), F.when(c == F.lower(c), letter(97, 26)).otherwise(letter(65, 26)))
+                # Signs stay, but an entity made of signs could never differ from itself.
+                .when(later & (c != "@") & (c != ".") & ~text.rlike(r"[\p{L}0-9]"), letter(97, 26))
                 .otherwise(c)
             )
 
         return F.array_join(F.transform(F.split(text, "", -1), one), "")
 
+    def more(first: int, n: int, when: Column) -> Column:
+        """Characters that make a value longer with every attempt, once those of its length may be used up."""
+        drawn = F.transform(F.sequence(F.lit(1), attempt.cast("int")), lambda i: F.char(F.lit(first) + (_draw(key, kind, entity, attempt.cast("string"), F.lit("more"), i.cast("string")) % n).cast("int")))
+        return F.when(when, F.array_join(drawn, "")).otherwise("")
+
     no = F.lit(False)
     r = _draw(key, kind, entity, attempt.cast("string"))
     octets = F.transform(F.split(entity, r"\."), lambda _, i: (_draw(key, kind, entity, attempt.cast("string"), i.cast("string")) % 254 + 1).cast("string"))
@@ -148,21 +157,21 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     def given(latin, other) -> Column:
         # the lists are short: from the second attempt on a syllable is added for distinctness
         name = F.lower(F.when(cyrillic, _pick(other, r)).otherwise(_pick(latin, r)))
-        more = F.when(attempt == 0, "").otherwise(F.when(cyrillic, made(CYRILLIC)).otherwise(made(LATIN)))
-        return F.concat(name, F.when(attempt == 0, "").otherwise("-"), more)
+        syllables = F.when(attempt == 0, "").otherwise(F.when(cyrillic, made(CYRILLIC)).otherwise(made(LATIN)))
+        return F.concat(name, F.when(attempt == 0, "").otherwise("-"), syllables)
 
     return (
-        F.when(kind == "EMAIL", F.concat(like(F.regexp_extract(entity, r"^(.*)\.[^.]*$", 1), no), F.lit(".example")))
+        F.when(kind == "EMAIL", F.concat(more(97, 26, attempt >= 2), like(F.regexp_extract(entity, r"^(.*)\.[^.]*$", 1), no), F.lit(".example")))
         .when(kind == "IP", F.array_join(octets, "."))
         .when(kind == "IPV6", like(entity, F.lit(True)))
-        .when(kind == "CARD", F.when(valid, F.concat(body, _check_digit(body))).otherwise(digits))
-        .when(kind == "IBAN", F.concat(F.substring(entity, 1, 2), like(F.substring(entity, F.lit(3), F.length(entity)), no)))
-        .when(kind == "SECRET", like(entity, hexadecimal))
+        .when(kind == "CARD", F.when(valid & ~late, F.concat(body, _check_digit(body))).otherwise(F.concat(digits, more(48, 10, late))))
+        .when(kind == "IBAN", F.concat(F.substring(entity, 1, 2), like(F.substring(entity, F.lit(3), F.length(entity)), no), more(48, 10, late)))
+        .when(kind == "SECRET", F.concat(like(entity, hexadecimal), more(97, 6, late)))
         .when(kind == "GIVEN_m", given(MALE, MALE_CYRILLIC))
         .when(kind == "GIVEN_f", given(FEMALE, FEMALE_CYRILLIC))
         .when(kind == "GIVEN_n", given(MALE + FEMALE, MALE_CYRILLIC + FEMALE_CYRILLIC))
         .when(kind == "SURNAME", F.when(cyrillic, made(CYRILLIC)).otherwise(made(LATIN)))
-        .otherwise(digits)
+        .otherwise(F.concat(digits, more(48, 10, late)))
     )
 
 
@@ -190,16 +199,32 @@ def rendered(kind: Column, raw: Column, value: Column) -> Column:
     )
 
 
+def in_one_country(coded: DataFrame) -> DataFrame:
+    """Phone numbers without a country code get that of the same number with one, if all that have one agree on it."""
+    phones = coded.where("kind = 'PHONE'")
+    written = phones.where(F.col("raw").startswith("+") & (F.length("canon") > 10))
+    whole = (
+        written.groupBy(F.expr("right(canon, 10)").alias("local"))
+        .agg(F.min("canon").alias("whole"), F.max("canon").alias("other")).where("whole = other").drop("other")
+    )
+    bare = (F.col("kind") == "PHONE") & ~F.col("raw").startswith("+")
+    joined = coded.withColumn("local", F.when(bare, F.col("canon"))).join(whole, "local", "left")
+    return joined.withColumn("canon", F.coalesce("whole", "canon")).drop("local", "whole")
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, value) for the distinct entities(kind, canon): no two of a kind share a value, none is an entity.
 
     Those that lose a collision, or hit a real entity, try again; of those that collide the
-    smallest keeps the value.
+    smallest keeps the value. Mail addresses from the third attempt on, and numbers and secrets from the
+    ninth, grow with every attempt, so there is always a free value left, however many entities there are.
     """
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = cut_lineage(entities.distinct())
     wanted, attempt, done = real, 0, None
     while True:
-        tried = cut_lineage(wanted.withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)))
+        # Making a surrogate costs far more than moving an entity: few entities are many tasks' work.
+        tried = cut_lineage(wanted.repartition(tasks, "kind", "canon").withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)))
         free = tried.join(real.select("kind", F.col("canon").alias("value")), ["kind", "value"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "value"), ["kind", "value"], "left_anti")
@@ -227,6 +252,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
         .select("code", "at", F.posexplode(parts_of(F.col("raw"))).alias("part", "p"))
         .select("code", "at", "part", "p.kind", "p.raw", canon(F.col("p.kind"), F.col("p.raw")).alias("canon"))
     )
+    coded = in_one_country(coded)
     values = assign(coded.where("kind is not null").select("kind", "canon"), key)
     pieces = coded.join(values, ["kind", "canon"], "left").select(
         "code", "at", "part", F.when(F.col("value").isNull(), F.col("raw")).otherwise(rendered(F.col("kind"), F.col("raw"), F.col("value"))).alias("new")

@@ -66,3 +66,22 @@ def test_odd(odd, none):
     frame = odd.sparkSession.createDataFrame(rows, "doc_id long, text string")
     new = surrogates.replace_private(frame, "k").collect()
     assert len(new) == 3 and len({w for r in new for w in r.text.split()}) == 1 and sum(r.n_entities for r in new) == 3002
+
+
+def test_ends_on_signs_and_small_spaces(spark):
+    """Entities of signs only, and more entities than there are surrogates of their length."""
+    texts = ["password: ********", "token = ------", "to _-@-.com and _-@-.org", "pwd=!!!!!!!! pwd=????????"]
+    texts += [f"{a}@{b}.{t}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for t in ("nl", "de")]
+    got = run(spark, texts)
+    new = [got[i][1] for i in range(len(texts))]
+    assert not set(new) & set(texts) and len(set(new)) == len(texts)
+    one, two = re.findall(r"\S+@\S+", new[2])
+    assert one != two and new[0].startswith("password: ") and "***" not in new[0]
+
+
+def test_country_codes(spark):
+    got = run(spark, ["+1 415 555 2671 or +44 415 555 2671", "415 555 2671", "+31 20 794 60958, (207) 946-0958", "call 207-946-0958"])
+    one, two = re.findall(r"\+[\d ]+\d", got[0][1])
+    assert re.sub(r"\D", "", one)[-10:] != re.sub(r"\D", "", two)[-10:]
+    tails = [re.sub(r"\D", "", x)[-10:] for x in (*re.split(", ", got[2][1]), got[3][1])]
+    assert len(set(tails)) == 1  # one country is written, so the national forms are of it
