@@ -9,13 +9,14 @@ the end each view is calibrated on labelled rows that took no part, and both are
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ LABELLED = 8_000
 #: Rounds of exchange, the share of the unlabelled rows each view may label per class and round, how many
 #: that are at most (the surest of all unlabelled rows of the corpus), and how sure it has to be.
 ROUNDS, GIVEN, MOST_GIVEN, SURE = 2, 0.1, 800, 0.95
-#: Tasks in which the fitted rows are read.
+#: Files in which the fitted rows are written.
 FIT_TASKS = 2
 #: Every word of every text is hashed to one of these; the fitted models stay as small however large the corpus is.
 WORD_FEATURES, META_FEATURES = 1 << 18, 1 << 8
@@ -36,15 +37,12 @@ LAYOUT = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÇÑÓÍ", "digits": "0123456789", "marks": ".,;:?'\"-()",
     "signs": "!#$%&*+/<=>@[\\]^_`{|}~", "lines": "\n",
 }
+NUMBERS = ["log_size", "log_words", "word_size", "distinct_words", *LAYOUT]
+#: Penalties (L1 for words, which most rare words don't survive, L2 else), and passes of a fit by Newton steps; short steps take ten times as many.
+WORD_PENALTY, META_PENALTY, LINE_PENALTY, PASSES = 5e-3, 1e-4, 1e-3, 30
 VIEWS, TARGETS = ("words", "meta"), ("quality", "toxic")
 
 
-def _together(work: Callable[[str], object], names: tuple[str, ...]) -> dict:
-    """Runs small Spark jobs side by side: each fit is a row of short passes that leaves most cores idle."""
-    with ThreadPoolExecutor(len(names)) as pool:
-        return dict(zip(names, pool.map(work, names), strict=True))
-
-
 def _share(of: Column, part: Column) -> Column:
     return F.coalesce(part / F.greatest(of, F.lit(1)), F.lit(0.0))
 
@@ -77,65 +75,162 @@ def views(tokens: DataFrame, *keep: str) -> DataFrame:
         _share(words, F.size(F.array_distinct("tokens"))).alias("distinct_words"),
         *(_share(length, F.length(few) - F.length(F.translate(few, some, ""))).alias(n) for n, some in LAYOUT.items()),
     )
-    numbers = ["log_size", "log_words", "word_size", "distinct_words", *LAYOUT]
     frame = FeatureHasher(inputCols=["source", "lang"], outputCol="names", numFeatures=META_FEATURES).transform(frame)
-    frame = VectorAssembler(inputCols=[*numbers, "names"], outputCol="meta").transform(frame)
+    frame = VectorAssembler(inputCols=[*NUMBERS, "names"], outputCol="meta").transform(frame)
     return frame.select(*keep, F.col("counts").alias("words"), "meta")
 
 
-def _margin(model, view: str) -> Column:
-    """Log odds of class 1."""
-    return vector_to_array(F.col(f"raw_{view}"))[1]
+def _sparse(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row starts, columns and values of a column of Spark's vectors; a dense one has no list of columns."""
+    dense = pc.equal(vectors.field("type"), 1).to_numpy(zero_copy_only=False)
+    index, value = vectors.field("indices"), vectors.field("values")
+    sizes = pc.list_value_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    columns = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
+    given = np.repeat(~dense, sizes)
+    columns[given] = index.flatten().to_numpy(zero_copy_only=False)[: given.sum()]
+    return starts, columns, value.flatten().to_numpy(zero_copy_only=False)
+
+
+@dataclass(frozen=True)
+class View:
+    """Linear classifier of one view: log odds are the bias and the weights of the columns."""
+
+    weights: np.ndarray
+    bias: float
+
+    def margin(self, frame: DataFrame, view: str) -> Column:
+        """Log odds of class 1."""
+        shared = frame.sparkSession.sparkContext.broadcast(self)  # as large as the number of features
+
+        def odds(vectors: pa.Array) -> pa.Array:
+            own = shared.value
+            starts, columns, values = _sparse(vectors)
+            running = np.concatenate([[0.0], np.cumsum(own.weights[columns] * values)])
+            return pa.array(running[starts[1:]] - running[starts[:-1]] + own.bias)
+
+        return F.arrow_udf(odds, "double")(F.col(view))
 
 
 @dataclass
 class Combined:
     """The models of one target; `weights` are the bias and the factors of both views' calibrated log odds."""
 
-    models: dict
+    models: dict[str, View]
     calibration: dict
     weights: tuple[float, float, float]
 
     def score(self, frame: DataFrame, name: str) -> DataFrame:
         odds = F.lit(self.weights[0])
         for view, weight in zip(VIEWS, self.weights[1:], strict=True):
-            frame = self.models[view].transform(frame)
             a, b = self.calibration[view]
-            odds = odds + weight * (a * _margin(self.models[view], view) + b)
-        frame = frame.withColumn(name, 1 / (1 + F.exp(-odds)))
-        return frame.drop(*(c for view in VIEWS for c in (f"raw_{view}", f"p_{view}", f"guess_{view}")))
-
-
-def _regression(view: str) -> LogisticRegression:
-    return LogisticRegression(
-        featuresCol=view, rawPredictionCol=f"raw_{view}", probabilityCol=f"p_{view}", predictionCol=f"guess_{view}",
-        labelCol="label", weightCol="weight", maxIter=30,
-        # Words that say nothing get no weight at all: most words of a corpus are rare.
-        regParam=5e-3 if view == "words" else 1e-4, elasticNetParam=1.0 if view == "words" else 0.0,
-        standardization=view != "words",  # it would make rare words cheap, and wrong labels be learnt by heart
-    )
-
+            odds = odds + weight * (a * self.models[view].margin(frame, view) + b)
+        return frame.withColumn(name, 1 / (1 + F.exp(-odds)))
+
+
+def _logistic(y: np.ndarray, margin: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the mean loss by margin, and the curvature."""
+    p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+    return weight * (p - y) / weight.sum(), weight * p * (1 - p) / weight.sum()
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps; the penalty holds for standardised columns, the bias has none."""
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
+    scale[scale == 0] = 1.0
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge = np.full(z.shape[1], penalty)
+    ridge[-1] = 1e-9
+    w = np.zeros(z.shape[1])
+    for _ in range(PASSES):
+        slope, curve = _logistic(y, z @ w, weight)
+        step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(ridge), z.T @ slope + ridge * w)
+        w = w - np.clip(step, -2.0, 2.0)
+        if np.abs(step).max() < 1e-7:
+            break
+    return w[:-1] / scale, float(w[-1] - (w[:-1] / scale) @ mean)
+
+
+def fit_sparse(
+    starts: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, size: int
+) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L1 penalty by accelerated proximal steps; a column that says little gets no weight at all."""
+    used, column = np.unique(columns, return_inverse=True)
+    n, rows = len(used), np.repeat(np.arange(len(y)), np.diff(starts))
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * w[column], len(y)) + w[n]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(column, values * r[rows], n), r.sum())
+
+    share = weight / weight.sum()
+    top = np.ones(n + 1)
+    for _ in range(15):  # the largest curvature decides the length of a step
+        top = back(share * times(top))
+        norm = np.linalg.norm(top)
+        top = top / max(norm, 1e-12)
+    length = 3.5 / max(norm, 1e-12)
+    w = ahead = np.zeros(n + 1)
+    momentum = 1.0
+    for _ in range(10 * PASSES):
+        slope, _ = _logistic(y, times(ahead), weight)
+        new = ahead - length * back(slope)
+        new[:n] = np.sign(new[:n]) * np.maximum(np.abs(new[:n]) - length * penalty, 0)
+        if (ahead - new) @ (new - w) > 0:  # momentum against the slope
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        moved = np.abs(new - w).max()
+        ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
+        if moved < 1e-5:
+            break
+    out = np.zeros(size)
+    out[used] = w[:n]
+    return out, float(w[n])
 
-def _weighted(rows: DataFrame) -> DataFrame:
-    """Both classes weigh the same in sum."""
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2 * counts.get(1.0, total))).otherwise(total / (2 * counts.get(0.0, total)))
-    return rows.withColumn("weight", weight)
 
+def fit_views(sets: dict[str, DataFrame]) -> dict[str, View]:
+    """Fits the classifier of each view on its rows(words, meta, label): one job, one task per view over a bounded number of rows.
 
-def _line(rows: DataFrame, columns: list[str]) -> tuple[float, ...]:
-    """Bias and factors of a logistic regression on a few number columns."""
-    frame = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).select("x", "label", "share")
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="share", maxIter=30, regParam=1e-3).fit(frame)
-    return (model.intercept, *model.coefficients.toArray().tolist())
+    Both classes weigh the same in sum.
+    """
+    spark = next(iter(sets.values())).sparkSession
+    sizes = {"words": WORD_FEATURES, "meta": len(NUMBERS) + META_FEATURES}
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, columns, values = _sparse(batch.column("vector"))
+            lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x)) for x in (columns.astype(np.int32), values)]
+            yield pa.RecordBatch.from_arrays([batch.column("view"), batch.column("label"), *lists], ["view", "label", "columns", "values"])
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        view, y = rows["view"].iloc[0], rows["label"].to_numpy(np.float64)
+        weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in rows["columns"]])])
+        columns, values = (np.concatenate([np.asarray(v) for v in rows[c]]) for c in ("columns", "values"))
+        if view == "words":
+            weights, bias = fit_sparse(starts, columns.astype(np.int64), values, y, weight, WORD_PENALTY, sizes[view])
+        else:
+            x = np.zeros((len(y), sizes[view]))
+            x[np.repeat(np.arange(len(y)), np.diff(starts)), columns.astype(np.int64)] = values
+            weights, bias = fit_dense(x, y, weight, META_PENALTY)
+        return pd.DataFrame({"view": [view], "weights": [weights.astype("<f8").tobytes()], "bias": [bias]})
+
+    rows = None
+    for view, frame in sets.items():
+        some = frame.select(F.lit(view).alias("view"), "label", F.col(view).alias("vector"))
+        some = some.mapInArrow(flat, "view string, label double, columns array<int>, values array<double>")
+        rows = some if rows is None else rows.unionByName(some)
+    # A number of partitions of its own: few small ones would be put into one task.
+    tasks = max(len(sets), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.repartition(tasks, "view").groupBy("view").applyInPandas(learn, "view string, weights binary, bias double")
+    return {r.view: View(np.frombuffer(r.weights, "<f8"), r.bias) for r in found.collect()}  # a row of fixed size per view
 
 
 def surest(frame: DataFrame, free: DataFrame, models: dict, most: int) -> dict[str, DataFrame]:
     """Per view the `most` rows(id, words, meta, label) of each class that it is surest of, of all rows whose id and code are in free."""
-    scored = frame
-    for view in VIEWS:
-        scored = models[view].transform(scored).withColumn(f"q_{view}", vector_to_array(F.col(f"p_{view}"))[1])
+    scored = frame.select("id", "code", *((1 / (1 + F.exp(-models[view].margin(frame, view)))).alias(f"q_{view}") for view in VIEWS))
     odds = [F.col(f"q_{view}") for view in VIEWS]
     sure = scored.select("id", "code", *odds).where(F.greatest(*odds, *(1 - q for q in odds)) >= SURE)
     # Only ids and probabilities are joined and sorted; the features of the few that win are fetched afterwards.
@@ -168,7 +263,7 @@ def fit(labelled: DataFrame, frame: DataFrame, free: DataFrame, most: int) -> Co
     sets = {view: train.select("id", *VIEWS, "label") for view in VIEWS}
     models = {}
     for turn in range(ROUNDS + 1):
-        models = _together(lambda view: _regression(view).fit(_weighted(sets[view]).coalesce(FIT_TASKS)), VIEWS)
+        models = fit_views(sets)
         if turn == ROUNDS:
             break
         given = surest(frame, free, models, most)
@@ -176,15 +271,17 @@ def fit(labelled: DataFrame, frame: DataFrame, free: DataFrame, most: int) -> Co
         sets = {"words": sets["words"].union(given["meta"]), "meta": sets["meta"].union(given["words"])}
         used = given["words"].select("id").union(given["meta"].select("id")).distinct()
         free = free.join(F.broadcast(used), "id", "left_anti")
+    # A fifth of a bounded number of rows.
+    held = rest.select("label", "share", *(models[view].margin(rest, view).alias(view) for view in VIEWS)).toPandas().astype(float)
+    y, share = held["label"].to_numpy(), held["share"].to_numpy()
+    calibration, calibrated = {}, []
     for view in VIEWS:
-        rest = models[view].transform(rest).withColumn(f"m_{view}", _margin(models[view], view))
-    rest = cut_lineage(rest.select("label", "share", *(f"m_{v}" for v in VIEWS))).coalesce(1)  # a fifth of a bounded number of rows
-    calibration = {}
-    for view in VIEWS:
-        b, a = _line(rest, [f"m_{view}"])
-        calibration[view] = (a, b)
-        rest = rest.withColumn(f"c_{view}", a * F.col(f"m_{view}") + b)
-    return Combined(models, calibration, _line(rest, [f"c_{v}" for v in VIEWS]))
+        margin = held[[view]].to_numpy()
+        (a,), b = fit_dense(margin, y, share, LINE_PENALTY)
+        calibration[view] = (float(a), b)
+        calibrated.append(a * margin[:, 0] + b)
+    factors, bias = fit_dense(np.column_stack(calibrated), y, share, LINE_PENALTY)
+    return Combined(models, calibration, (bias, *map(float, factors)))
 
 
 def _drawn(there: DataFrame) -> DataFrame:
@@ -220,8 +317,7 @@ def train(frame: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
     most = max(1, min(MOST_GIVEN, int(GIVEN * free.count())))
     chosen = cut_lineage(_drawn(known.join(narrow, "id")))
     picked = frame.join(F.broadcast(chosen), ["id", "code"]).dropDuplicates(["id"])
-    # A bounded number of rows: few tasks per pass of a fit.
-    rows = cut_lineage(picked.coalesce(FIT_TASKS)).coalesce(FIT_TASKS).cache()
+    rows = cut_lineage(picked.coalesce(FIT_TASKS))
 
     def learn(target: str) -> Combined | None:
         labelled = rows.where(F.col(f"share_{target}").isNotNull()).select(
@@ -229,9 +325,7 @@ def train(frame: DataFrame, labels: DataFrame) -> dict[str, Combined | None]:
         )
         return fit(labelled, frame, free, most)
 
-    out = {target: learn(target) for target in TARGETS}
-    rows.unpersist()
-    return out
+    return {target: learn(target) for target in TARGETS}
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
