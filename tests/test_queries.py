@@ -33,7 +33,7 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ("remove_moderators", "annotation_sample", "lexicon_scores_all", "tfidf_terms", "mask_names",
+    ("remove_moderators", "annotation_sample", "lexicon_scores_all", "tfidf_terms",
      "cap_sensitivity", "cohens_kappa", "confusion_matrix", "messages_per_month"),
 )
 def test_plans_have_no_cross_join_and_no_python(spark, name):
@@ -42,6 +42,14 @@ def test_plans_have_no_cross_join_and_no_python(spark, name):
         assert bad not in plan
 
 
+def test_names_take_one_arrow_scan(spark):
+    """Names are looked for by a trie, in batches; no other Python and no join."""
+    plan = contract.queries()["mask_names"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "Join"):
+        assert bad not in plan
+
+
 def test_structure_takes_one_shuffle(spark):
     from agoralytics.operators.threads import thread_structure
     from agoralytics.session import cut_lineage
