@@ -119,6 +119,13 @@ def reply_length_by_label(spark, folder):
     return reports.histogram_table(words, "word_count", 300, 30, ["label"])
 
 
+def subtype_histogram(spark, folder):
+    """Words of supportive replies by type of support."""
+    typed = typed_support(Stages(spark, folder).annotated_text)
+    words = typed.select("support_type", tx.word_count("text_normalized").alias("word_count"))
+    return reports.histogram_table(words, "word_count", 300, 25, ["support_type"])
+
+
 def user_activity_histogram(spark, folder):
     return reports.histogram_table(user_activity(spark, folder), "message_count", 100, 40)
 
@@ -182,7 +189,7 @@ QUERIES = {
         class_imbalance, cohens_kappa, reply_count_stats, user_activity, activity_levels,
         messages_per_user, wordcount_by_label, subtype_wordcount, moderator_candidates,
         low_word_groups, length_quantiles, user_concentration, cap_sensitivity,
-        histogram_table, reply_length_by_label, user_activity_histogram,
+        histogram_table, reply_length_by_label, subtype_histogram, user_activity_histogram,
         reply_count_histogram,
     )
 }
@@ -320,6 +327,16 @@ ORACLES = {
     "reply_length_by_label": oracle(
         _histogram("word_count", "reply_words", 300, 30, "label"), reply_words=_REPLY_WORDS
     ),
+    "subtype_histogram": oracle(
+        _histogram(
+            "word_count",
+            "(SELECT * FROM reply_words WHERE support_type IN ('informational', 'emotional'))",
+            300,
+            25,
+            "support_type",
+        ),
+        reply_words=_REPLY_WORDS,
+    ),
     "user_activity_histogram": _histogram("message_count", f"({_LEVELS})", 100, 40),
     "reply_count_histogram": oracle(
         _histogram("replies", "thread_replies", 30, 30), thread_replies=_REPLIES

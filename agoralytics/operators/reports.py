@@ -196,7 +196,7 @@ def wordcount_by(df: DataFrame, by: str, column: str = "text_normalized") -> Dat
 
 
 def user_activity(messages: DataFrame, user: str = "poster_id") -> DataFrame:
-    """Messages per user and the activity level they stand for."""
+    """Messages per user and the activity level they stand for; in no order, `by_activity` gives one for a listing."""
     n = F.col("message_count")
     return (
         messages.filter(F.col(user).isNotNull())
@@ -214,6 +214,11 @@ def user_activity(messages: DataFrame, user: str = "poster_id") -> DataFrame:
     )
 
 
+def by_activity(activity: DataFrame, user: str = "poster_id") -> DataFrame:
+    """The most active users first; ties by id."""
+    return activity.orderBy(F.col("message_count").desc(), user)
+
+
 def activity_levels(activity: DataFrame) -> DataFrame:
     """Users and messages per activity level."""
     return activity.groupBy("activity_level").agg(

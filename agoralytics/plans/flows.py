@@ -195,7 +195,7 @@ def explore(structured: DataFrame, annotated: DataFrame) -> dict[str, DataFrame]
         ),
         "reply_length_by_label": reports.histogram_table(reply_words, "word_count", 300, 30, ["label"]),
         "wordcount_by_label": reports.wordcount_by(annotated, "label"),
-        "user_activity": activity,
+        "user_activity": reports.by_activity(activity),
         "activity_levels": reports.activity_levels(activity),
         "user_activity_histogram": reports.histogram_table(activity, "message_count", 100, 40),
         "reply_count_stats": reports.reply_count_stats(structured),
