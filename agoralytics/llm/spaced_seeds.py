@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from agoralytics.llm import bit_filter
 from agoralytics.llm.common import chunks, cut_lineage, mix, texts_of, word_hashes
 
-#: 1 looks at a word, 0 ignores it. Any one substitution that isn't at an end of
-#: the span is ignored by one of them, and the third also two that are five words apart.
-MASKS = ("11011011", "11100111", "10111101")
-SPAN = 8
+#: 1 looks at a word, 0 ignores it. Wherever a fifth of 8 to 20 words in a row is
+#: substituted at most, one of them looks at equal words only (the tests try every placement).
+MASKS = ("111111", "1111011", "11001111", "110101011", "110110011")
+#: Words of the shortest and of the longest mask, and of the shortest item that masks can find.
+LEAST, MOST, SHORT = 6, 9, 8
 
 
 def _seeds(words: np.ndarray, begins: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, first words) per mask, then per plain run of each of the lengths below SPAN."""
+    """(hashes, first words) per mask, then per plain run of each of the lengths below SHORT."""
     counts = np.diff(begins)
     text = np.repeat(np.arange(len(counts)), counts)
-    factors = mix(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+    factors = mix(np.arange(1, MOST + 1, dtype=np.uint64)) | np.uint64(1)
     out = []
     for kind, mask in enumerate([*MASKS, *("1" * n for n in lengths)]):
         n = max(0, len(words) - len(mask) + 1)
@@ -52,14 +53,14 @@ def _around(words: np.ndarray, begins: np.ndarray, at: np.ndarray, before: int,
 
 def test_seeds(benchmark: DataFrame, window: int) -> DataFrame:
     """seed, item_id, item_at, item_words, context of every item, long items by all masks, short ones whole."""
-    before, width = window - SPAN, 2 * window - SPAN
+    before, width = window - LEAST, 2 * window - LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole)):
             words, begins = word_hashes(batch.column("text"))
             counts = np.diff(begins)
             item = np.repeat(np.arange(len(counts)), counts)
-            short = [n for n in range(1, SPAN) if (counts == n).any()]
+            short = [n for n in range(1, SHORT) if (counts == n).any()]
             for k, (seeds, at) in enumerate(_seeds(words, begins, short)):
                 if k >= len(MASKS):
                     whole = counts[item[at]] == short[k - len(MASKS)]
@@ -77,7 +78,7 @@ def test_seeds(benchmark: DataFrame, window: int) -> DataFrame:
 
 def training_seeds(docs: DataFrame, held: bytes, window: int, short: list[int]) -> DataFrame:
     """seed, doc_id, doc_at, doc_context of the places in whole texts whose seed passes the filter."""
-    before, width = window - SPAN, 2 * window - SPAN
+    before, width = window - LEAST, 2 * window - LEAST
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def training_seeds(docs: DataFrame, held: bytes, window: int, short: list[int])
 
 def _best_run(same: Column, window: int) -> Column:
     """The most equal words in any `window` neighbouring places of a list of 0 and 1."""
-    starts = F.sequence(F.lit(1), F.lit(window - SPAN + 1))
+    starts = F.sequence(F.lit(1), F.lit(window - LEAST + 1))
     return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(same, s, window), F.lit(0), lambda a, x: a + x)))
 
 
@@ -110,16 +111,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, similarity: f
     """(doc_id, item_id, matched, compared, doc_at): test items that a document overlaps with.
 
     A document(doc_id, text) overlaps with an item(item_id, text) if of `window` words in a
-    row, aligned one to one, at least the share `similarity` is equal, and a spaced seed
-    lies within them; of an item with fewer words, of all its words (with fewer than eight,
-    all are equal). `matched` is the largest number of equal words, doc_at the first word
+    row, aligned one to one, at least the share `similarity` is equal; of an item with
+    fewer words, of all its words (with fewer than eight, all are equal). A spaced seed
+    finds each such place at 20 words and 0.8, or closer; with other settings a place
+    without any seed is not found. `matched` is the largest number of equal words, doc_at the first word
     of the aligned item in the document (negative if the document begins inside it).
     Words are lower case; punctuation doesn't count. Missing and empty texts, and rows
     without an id, overlap with nothing. Repeated rows count once; empty tables give no
     rows; other columns don't matter.
     """
     tests = cut_lineage(test_seeds(benchmark.where("item_id is not null"), window))
-    short = sorted(r[0] for r in tests.where(F.col("item_words") < SPAN).select("item_words").distinct().collect())
+    short = sorted(r[0] for r in tests.where(F.col("item_words") < SHORT).select("item_words").distinct().collect())
     hits = training_seeds(docs.where("doc_id is not null"), bit_filter.build(tests, "seed"), window, short).join(tests, "seed")
     same = F.zip_with("doc_context", "item_context", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     compared = F.least("item_words", F.lit(window))

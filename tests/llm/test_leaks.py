@@ -1,6 +1,10 @@
 """Spaced seeds against a comparison of all alignments."""
 
+import math
+from itertools import combinations
+
 import brute
+import pytest
 
 from agoralytics.llm import spaced_seeds
 
@@ -29,8 +33,35 @@ def test_substitutions(spark, rng):
         docs.append((i, " ".join(w)))
     docs += [(100, items[5][1].upper().replace(" ", ", ")), (101, " ".join(items[-1][1].split()[:5]))]
     got = pairs(spaced_seeds.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
-    want = brute.leaks(docs, items)
-    assert got <= want and len(want - got) <= 0.03 * len(want), want - got
+    assert got == brute.leaks(docs, items)
+
+
+@pytest.mark.parametrize("words", range(8, 21))
+def test_masks_lose_no_placement(words):
+    """Every choice of as many substitutions as four fifths allow leaves a seed whole."""
+    looks = [{j for j, c in enumerate(mask) if c == "1"} for mask in spaced_seeds.MASKS]
+    seeds = [frozenset(s + j for j in look) for look, mask in zip(looks, spaced_seeds.MASKS, strict=True) for s in range(words - len(mask) + 1)]
+    for changed in combinations(range(words), words - math.ceil(0.8 * words - 1e-9)):
+        assert any(seed.isdisjoint(changed) for seed in seeds), changed
+
+
+@pytest.mark.parametrize("words", [8, 10, 12, 15, 20, 33])
+def test_exactly_four_fifths(spark, rng, words):
+    """Documents with the fewest equal words that still count are all found, those with one less aren't."""
+    item = [f"v{i}" for i in range(words)]
+    size = min(words, 20)
+    docs, want = [], set()
+    for i in range(60):
+        start, off = rng.randint(0, words - size), size - math.ceil(0.8 * size - 1e-9) + i % 2
+        text = item[start : start + size]
+        for j in rng.sample(range(size), off):
+            text[j] = f"other{i}x{j}"
+        docs.append((i, " ".join([f"a{i}", *text, f"b{i}"])))
+        if i % 2 == 0:
+            want.add((i, 1))
+    items = [(1, " ".join(item))]
+    assert want == brute.leaks(docs, items)
+    assert pairs(spaced_seeds.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))) == want
 
 
 def test_odd(spark, odd, none):
