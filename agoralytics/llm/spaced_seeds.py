@@ -62,9 +62,9 @@ def test_seeds(benchmark: DataFrame, window: int) -> DataFrame:
             item = np.repeat(np.arange(len(counts)), counts)
             short = [n for n in range(1, SHORT) if (counts == n).any()]
             for k, (seeds, at) in enumerate(_seeds(words, begins, short)):
-                if k >= len(MASKS):
-                    whole = counts[item[at]] == short[k - len(MASKS)]
-                    seeds, at = seeds[whole], at[whole]
+                words_of = counts[item[at]]
+                meant = words_of == short[k - len(MASKS)] if k >= len(MASKS) else words_of >= SHORT
+                seeds, at = seeds[meant], at[meant]
                 own = item[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seeds.view(np.int64)), batch.column("item_id").take(pa.array(own)), pa.array(at - begins[own]),
