@@ -19,19 +19,27 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agoralytics.llm.common import chunks, cut_lineage, texts_of
-from agoralytics.llm.word_table import WordTable
+from agoralytics.llm.word_table import WordTable, spread
 from agoralytics.session import scratch_folder
 
 #: Tokens in a sequence, and sequences in a batch.
 LENGTH, ROWS = 2_048, 128
 
+#: Words that go to the tokenizer as one string.
+JOINED = 512
+
 _INNER = re.compile(r"(?<=\S) (?=\S)")
-_RARE = re.compile(r"[^\S \n]")
+_WHITE = re.compile(r"\s")
+#: White space other than a space or a line feed.
+_RARE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A text in which a space may have white space or nothing beside it.
+_ODD = rf"\A | \z|  |\n | \n|[{_RARE}]"
 
 
 class ByteTokenizer:
@@ -45,34 +53,57 @@ class ByteTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        def encode(lead: str):
-            def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-                coded = [e.ids for e in tokenizer.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
-                lengths = np.array([len(c) for c in coded], np.int64)
-                return np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum())), lengths
-
-            return run
-
+        self._tokenizer = tokenizer = Tokenizer.from_file(path)
         self.largest = tokenizer.get_vocab_size(with_added_tokens=True) - 1
-        self.first, self.next = WordTable(encode("")), WordTable(encode(" "))
+        self._spaced = np.zeros(self.largest + 1, bool)
+        self._spaced[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True
+        self.first, self.next = WordTable(self._alone), WordTable(self._behind_space)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.array([len(c) for c in coded], np.int64)
+        return np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum())), lengths
+
+    def _behind_space(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word with a space before it. Many words go as one string: the ids that
+        begin with a space begin the words, if there are as many of them as words."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            joined = " " + " ".join(some)
+            if all(some) and len(_WHITE.findall(joined)) == len(some):
+                ids, _ = self._alone([joined])
+                heads = np.flatnonzero(self._spaced[ids])
+                if len(heads) == len(some) and heads[0] == 0:
+                    out.append((ids, np.diff(heads, append=len(ids))))
+                    continue
+            out.append(self._alone([" " + w for w in some]))
+        return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text):
-            return _INNER.split(text)
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in a row, and how many each text has."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        cut = pc.split_pattern(texts, " ")
+        if pc.any(odd).as_py():
+            by_rule = iter([_INNER.split(t) for t in texts.filter(odd).to_pylist()])
+            parts = [next(by_rule) if o else c for o, c in zip(odd.to_pylist(), cut.to_pylist(), strict=True)]
+            cut = pa.array(parts, cut.type)
+        return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
-        cut = [self.pieces(t) for t in texts]
-        first, first_n = self.first.ids([c[0] for c in cut])
-        rest, rest_n = self.next.ids(list(chain.from_iterable(c[1:] for c in cut)))
-        ends = np.concatenate([[0], np.cumsum(rest_n)])[np.cumsum([0, *(len(c) - 1 for c in cut)])]
-        more = np.diff(ends)
-        ids = np.insert(rest, np.repeat(ends[:-1], first_n), first)
-        return ids, first_n + more
+        pieces, counts = self.pieces(texts)
+        ends = np.cumsum(counts)
+        heads = ends - counts
+        distinct = pieces.dictionary_encode()
+        held, starts, lengths = self.next.places(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = distinct.indices.to_numpy()
+        starts, lengths = starts[codes], lengths[codes]
+        first, first_n = self.first.ids(pieces.take(pa.array(heads)).to_pylist())
+        starts[heads], lengths[heads] = len(held) + np.cumsum(first_n) - first_n, first_n
+        ids = np.concatenate([held, first])[spread(starts, lengths)]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends], prepend=0)
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}
@@ -145,7 +176,7 @@ def write_sequences(docs: DataFrame, path: str, end_id: int, folder: str, parts:
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(f"{base}/{name}")
                 writer = _Writer(stream, kind)
-            ids, lengths = tokenizer.encode(batch.column("text").to_pylist())
+            ids, lengths = tokenizer.encode(batch.column("text"))
             ends = np.cumsum(lengths)
             writer.add(np.insert(ids, ends, end_id))
             lengths = lengths + 1

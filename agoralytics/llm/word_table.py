@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -29,12 +30,14 @@ class WordTable:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each word has."""
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids held, where in them the ids of each word begin, and how many it has."""
         if self._held > self._most:
             self._forget()
-        new = [w for w in set(words) if w not in self._code]
-        if new:
+        codes = np.fromiter(map(self._code.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
             ids, lengths = self._encode(new)
             n, have = len(self._code), len(new)
             self._starts, self._lengths = self._room(self._starts, n + have), self._room(self._lengths, n + have)
@@ -45,6 +48,10 @@ class WordTable:
             self._used += len(ids)
             self._held += sum(map(len, new))
             self._code.update(zip(new, range(n, n + have), strict=True))
-        codes = np.fromiter(map(self._code.__getitem__, words), np.int64, len(words))
-        lengths = self._lengths[codes]
-        return self._ids[spread(self._starts[codes], lengths)], lengths
+            codes[unknown] = [self._code[words[i]] for i in unknown]
+        return self._ids[: self._used], self._starts[codes], self._lengths[codes]
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        held, starts, lengths = self.places(words)
+        return held[spread(starts, lengths)], lengths
