@@ -3,28 +3,28 @@
 from agoralytics.llm import line_winnow
 
 
-def plain(rows, lines=line_winnow.LINES, characters=line_winnow.CHARACTERS):
-    seen, out = set(), {}
+def plain(rows, lines=3, characters=300, words=40):
+    """Every window against the first equal one, extended line by line."""
+    first, out = {}, {}
+    solid_of = {i: [(k, s.strip(" ")) for k, s in enumerate((text or "").split("\n")) if s.strip(" ")] for i, text in rows}
     for i, text in rows:
-        cut = (text or "").split("\n")
-        solid = [(k, s.strip(" ")) for k, s in enumerate(cut) if s.strip(" ")]
+        cut, solid = (text or "").split("\n"), solid_of[i]
         gone = set()
         for a in range(len(solid)):
-            size, total = lines, 0
-            for k in range(lines):
-                if a + k >= len(solid):
-                    size = None
-                    break
-                total += len(solid[a + k][1])
-                if total >= characters and k < lines - 1:
-                    size = k + 1
-                    break
-            if size is None:
+            size = next((k for k in range(1, lines) if sum(len(s) for _, s in solid[a : a + k]) >= characters or sum(s.count(" ") + 1 for _, s in solid[a : a + k]) >= words), lines)
+            if a + size > len(solid):
                 continue
             key = tuple(s for _, s in solid[a : a + size])
-            if key in seen:
-                gone |= set(range(solid[a][0], solid[a + size - 1][0] + 1))
-            seen.add(key)
+            if key not in first:
+                first[key] = (i, a)
+                continue
+            j, b = first[key]
+            other, low, high = solid_of[j], 0, size
+            while a + low > 0 and b + low > 0 and low > 1 - lines and solid[a + low - 1][1] == other[b + low - 1][1]:
+                low -= 1
+            while a + high < len(solid) and b + high < len(other) and high < size + lines - 1 and solid[a + high][1] == other[b + high][1]:
+                high += 1
+            gone |= set(range(solid[a + low][0], solid[a + high - 1][0] + 1))
         out[i] = (len(cut), len(gone), "\n".join(s for k, s in enumerate(cut) if k not in gone))
     return out
 
@@ -34,7 +34,7 @@ def result(frame):
 
 
 def test_random(spark, rng):
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c ", "", " ", "d" * 320, "e" * 160]) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c ", "", " ", "d" * 320, "e" * 160, "f g " * 11]) for _ in range(rng.randint(0, 14)))) for i in range(80)]
     assert result(line_winnow.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
 
@@ -51,3 +51,12 @@ def test_odd(odd, none):
     long = "x" * 400
     frame = odd.sparkSession.createDataFrame([(None, long), (2, long), (1, long), (1, long)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_removed, r.n_runs) for r in line_winnow.drop_repeats(frame).collect()) == [("1", 0, 0), ("1", 0, 0), ("2", 1, 1), ("None", 1, 1)]
+
+
+def test_one_line_passage(spark):
+    """A line of 43 words in unrelated documents stays in the first only, and so does what stands beside it in both."""
+    passage = " ".join(f"w{k}" for k in range(43))
+    rows = [(i, f"own {i}\nby the desk\n{passage}\n\nread more\nend {i}") for i in range(6)] + [(9, f"alone\n{passage}")]
+    got = result(line_winnow.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == plain(rows)
+    assert got[0][1] == 0 and got[9] == (2, 1, "alone") and all(got[i] == (6, 4, f"own {i}\nend {i}") for i in range(1, 6))
