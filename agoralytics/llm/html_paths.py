@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page names the container that scores best by its generalised tag-class path. The
-votes are added up per host, and each page is read again with the paths that won on its
+Each page names the container that scores best, widened to the container that holds
+the rest of the article, by its generalised tag-class path. The votes are added up per host, and each page is read again with the paths that won on its
 host; a page that has none of them falls back to its own best container.
 """
 
@@ -55,6 +55,9 @@ NOISE = re.compile(
     re.I,
 )
 _OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|related|recommended|promos?|sponsor(?:ed)?|ads?|adverts?)(?=$|[\s_-])", re.I)
+#: Elements that hold one block of text; a class name tells something of them only as a whole.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MODIFIER = re.compile(r"\b(?:has|with|no|without|is|not)[-_][\w-]*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -62,10 +65,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "skipped", "linked", "depth", "number")
+    __slots__ = ("tag", "path", "skipped", "titles", "linked", "number")
 
-    def __init__(self, tag, path, skipped, linked, depth, number):
-        self.tag, self.path, self.skipped, self.linked, self.depth, self.number = tag, path, skipped, linked, depth, number
+    def __init__(self, tag, path, skipped, titles, linked, number):
+        #: titles: skipped but for headings, as the header of an article is
+        self.tag, self.path, self.skipped, self.titles, self.linked, self.number = tag, path, skipped, titles, linked, number
 
 
 def _noise(tag: str, attributes: dict[str, str]) -> bool:
@@ -74,6 +78,8 @@ def _noise(tag: str, attributes: dict[str, str]) -> bool:
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display:\s*none", attributes.get("style", "")):
         return True
     names = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
+    if tag in TEXTS:
+        return any(NOISE.fullmatch(name) for name in names.split())
     words = _OTHER_ARTICLE if tag == "article" else NOISE
     return bool(names.strip()) and bool(words.search(_MODIFIER.sub(" ", names)))
 
@@ -91,7 +97,7 @@ def blocks_of(page: str) -> list[tuple[str, int, list[tuple[str, int]]]]:
     off at the end of the page is no text.
     """
     out: list[tuple[str, int, list[tuple[str, int]]]] = []
-    stack: list[_Element] = [_Element("", "", False, False, 0, 0)]
+    stack: list[_Element] = [_Element("", "", False, False, False, 0)]
     text: list[str] = []
     linked = number = at = 0
 
@@ -149,9 +155,15 @@ def blocks_of(page: str) -> list[tuple[str, int, list[tuple[str, int]]]]:
             continue
         top = stack[-1]
         number += 1
-        skipped = top.skipped or tag in SKIPPED or _noise(tag, attributes)
+        noise = _noise(tag, attributes)
+        skipped = top.skipped or tag in SKIPPED or noise
+        titles = not noise and (
+            top.titles and tag not in SKIPPED or tag == "header" and not top.skipped and any(e.tag == "article" for e in stack)
+        )
+        if titles and tag in HEADINGS:
+            skipped = titles = False
         path = f"{top.path}/{_step(tag, attributes)}" if tag in CONTAINERS else top.path
-        stack.append(_Element(tag, path, skipped, top.linked or tag == "a", top.depth + 1, number))
+        stack.append(_Element(tag, path, skipped, titles, top.linked or tag == "a", number))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -175,10 +187,44 @@ def scores(blocks: list[tuple[str, int, list[tuple[str, int]]]]) -> dict[tuple[s
     return out
 
 
+def widen(blocks: list[tuple[str, int, list[tuple[str, int]]]], best: tuple[str, int]) -> tuple[str, int]:
+    """The container that holds the whole article of which `best` holds a part.
+
+    An article around it is taken as a whole. Otherwise the outermost container below the
+    body whose blocks outside of `best` have less unlinked text than `best` itself, and
+    whose every step outwards adds no more text in links than out of them.
+    """
+    above = next(inside for _, _, inside in blocks if best in inside)
+    names = [path.rsplit("/", 1)[-1].split(".")[0] for path, _ in above]
+    at = above.index(best)
+    article = next((k for k in range(at, -1, -1) if names[k] == "article"), None)
+    if article is not None:
+        return above[article]
+    plain, links = [0] * (at + 1), [0] * (at + 1)
+    for text, linked, inside in blocks:
+        for k in range(min(at + 1, len(inside))):
+            if inside[k] != above[k]:
+                break
+            plain[k] += len(text) - min(linked, len(text))
+            links[k] += linked
+    wide = at
+    for k in range(at - 1, -1, -1):
+        if names[k] in ("", "html", "body") or plain[k] - plain[at] >= plain[at] or links[k] - links[wide] > plain[k] - plain[wide]:
+            break
+        wide = k
+    return above[wide]
+
+
+def best_container(blocks: list[tuple[str, int, list[tuple[str, int]]]], scored: dict[tuple[str, int], float]) -> tuple[str, int] | None:
+    """The container with the best score, of equals the first, widened to its article; none without text."""
+    return widen(blocks, max(scored, key=scored.get)) if scored else None
+
+
 def best_path(page: str) -> str | None:
-    """The generalised path of the container with the best score, of equals the first."""
-    scored = scores(blocks_of(page))
-    return max(scored, key=scored.get)[0] if scored else None
+    """The generalised path of the best container."""
+    blocks = blocks_of(page)
+    best = best_container(blocks, scores(blocks))
+    return best and best[0]
 
 
 def extract(page: str, winners: list[str]) -> str:
@@ -189,7 +235,9 @@ def extract(page: str, winners: list[str]) -> str:
     blocks = blocks_of(page)
     scored = scores(blocks)
     good = {path for (path, _), score in scored.items() if score > 0}
-    path = next((w for w in winners if w in good), None) or (max(scored, key=scored.get)[0] if scored else None)
+    path = next((w for w in winners if w in good), None)
+    if path is None:
+        path = (best_container(blocks, scored) or ("", 0))[0]
     chosen = {key for key, score in scored.items() if key[0] == path and (score > 0 or path not in good)}
     return "\n\n".join(text for text, _, inside in blocks if not chosen.isdisjoint(inside))
 
