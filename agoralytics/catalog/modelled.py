@@ -140,6 +140,26 @@ def grid_search(spark, folder):
     return models.grid_search(data.train, models.LOGISTIC, "topic_id", folds=3)
 
 
+#: Models whose five folds a registered query fits; boosted trees take hundreds of jobs a fold.
+QUICK_MODELS = (models.MAJORITY, models.TFIDF_LR, models.LOGISTIC, models.SVM, models.FOREST)
+
+
+def cv_comparison(spark, folder):
+    """Cross-validated, validation and test results of the models side by side."""
+    report = flows.model_threads(
+        _table(spark, folder), Stages(spark, folder).activity, QUICK_MODELS, folds=5
+    )
+    return report.summary.withColumn("best", F.col("model") == report.best)
+
+
+def search_best(spark, folder):
+    """The settings of the model that is best on the validation rows, by cross-validation."""
+    data = _prepared(spark, folder)
+    trained = models.train_models(data, QUICK_MODELS)
+    best = models.best_model(models.evaluate(trained, data.val, "val"))
+    return models.search(data, best, folds=3)
+
+
 def linear_importance(spark, folder):
     data = _prepared(spark, folder)
     model = models.fit(models.LOGISTIC, data.balanced, data.rows)
@@ -195,7 +215,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             smote, smote_counts, nearest_neighbours, model_comparison, results_summary,
-            cv_scores, cv_scores_filled_before, subtype_cv, grid_search, linear_importance,
+            cv_scores, cv_scores_filled_before, cv_comparison, subtype_cv, grid_search, search_best, linear_importance,
             tree_importance, tree_contributions, subgroup_f1_of_model, community_messages, messages_structured,
         )
     },

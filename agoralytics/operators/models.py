@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -20,7 +23,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoralytics.config import SEED, SELECTED_FEATURES
@@ -42,6 +45,15 @@ FOREST = "forest"
 BOOSTED = "boosted_trees"
 MODELS = (MAJORITY, TFIDF_LR, LOGISTIC, SVM, FOREST, BOOSTED)
 
+#: Settings of each model that a search tries.
+GRIDS: dict[str, list[dict]] = {
+    TFIDF_LR: [{"vocabulary": n} for n in (1_000, 5_000, 20_000)],
+    LOGISTIC: [{"c": c} for c in (0.1, 1.0, 10.0)],
+    SVM: [{"c": c} for c in (0.1, 1.0, 10.0)],
+    FOREST: [{"maxDepth": d, "minInstancesPerNode": n} for d in (3, 5, 8) for n in (1, 5)],
+    BOOSTED: [{"depth": d, "rate": r} for d in (2, 3) for r in (0.05, 0.2)],
+}
+
 
 # data ------------------------------------------------------------------------
 
@@ -135,33 +147,33 @@ def _logistic(
     )
 
 
-def estimator(name: str, rows: int, text: str = "text_normalized", c: float = 1.0):
-    """Untrained model by name. `rows` are the training rows, for the penalty."""
+def estimator(name: str, rows: int, text: str = "text_normalized", c: float = 1.0, **settings):
+    """Untrained model by name. `rows` are the training rows, for the penalty; settings as in GRIDS."""
     scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     if name == MAJORITY:
         return _Majority()
     if name == TFIDF_LR:
-        return _TfidfLogistic(text)
+        return _TfidfLogistic(text, **settings)
     if name == LOGISTIC:
         return Pipeline(stages=[scaled, _logistic(rows, "scaled", 5000, False, c)])
     if name == SVM:
         return SquaredHinge(c)
     if name == FOREST:
+        usual = {"numTrees": 200, "maxDepth": 5, "minInstancesPerNode": 5}
         return RandomForestClassifier(
-            labelCol="target", weightCol="weight", numTrees=200, maxDepth=5,
-            minInstancesPerNode=5, seed=SEED,
+            labelCol="target", weightCol="weight", seed=SEED, **{**usual, **settings}
         )
     if name == BOOSTED:
-        return Booster()
+        return Booster(**settings)
     raise ValueError(f"unknown model {name!r}")
 
 
-def fit(name: str, train: DataFrame, rows: int | None = None, c: float = 1.0):
+def fit(name: str, train: DataFrame, rows: int | None = None, c: float = 1.0, **settings):
     """Trains a model on rows with target, and features or text."""
     if name == MAJORITY or name == TFIDF_LR:
-        return estimator(name, 0).fit(train)
+        return estimator(name, 0, **settings).fit(train)
     weighted = with_weights(train, "target")
-    return estimator(name, rows or train.count(), c=c).fit(weighted)
+    return estimator(name, rows or train.count(), c=c, **settings).fit(weighted)
 
 
 # training and comparison -----------------------------------------------------
@@ -244,46 +256,92 @@ def best_model(validation: DataFrame) -> str:
     return ranked.head()["model"]
 
 
-def results_summary(validation: DataFrame, test: DataFrame) -> DataFrame:
-    """Validation and test results of each model side by side."""
+def results_summary(validation: DataFrame, test: DataFrame, folds: DataFrame | None = None) -> DataFrame:
+    """Validation and test results of each model side by side, with the folds' mean and deviation if given."""
     both = validation.join(test, "model", "full_outer")
+    if folds is not None:
+        both = both.join(folds, "model", "left")
     return both.select(
         "model", *[F.round(F.col(c), 3).alias(c) for c in both.columns if c != "model"]
     )
 
 
-def cross_validate(
-    rows: DataFrame,
-    name: str,
-    key: str,
-    folds: int = 5,
-    oversample: str = "inside",
-    c: float = 1.0,
-) -> DataFrame:
-    """Macro F1 per fold as (model, fold, f1_macro).
+@dataclass(frozen=True)
+class Fold:
+    """Training rows, the same with the minority class filled up, and held-out rows."""
+
+    train: DataFrame
+    balanced: DataFrame
+    held: DataFrame
+
+
+def _side_by_side(work, items: Sequence) -> list:
+    """Results of short Spark jobs that run at the same time, in the order of the items."""
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(work, items))
+
+
+def folds_of(rows: DataFrame, key: str, folds: int = 5, oversample: str = "inside") -> list[Fold]:
+    """The folds of a cross-validation, over one written table that every model reads.
 
     oversample='inside' fills up the minority class of each training part only;
     'none' leaves rows as they are (use it on rows already filled up, which is
     what a leaking comparison does, or for text models).
     """
     folded = cut_lineage(cv_folds(rows, "target", key, folds))
-    out = None
-    for fold in range(folds):
+
+    def part(fold: int) -> Fold:
         train = folded.filter(F.col("fold") != fold)
+        balanced = train
         if oversample == "inside":
-            train = cut_lineage(
+            balanced = cut_lineage(
                 smote(
                     train.select(F.col(key).cast("string").alias("id"), "target",
                                  vector_to_array("features").alias("x")),
                     "id", "target", "x",
                 ).select("target", array_to_features("x"))
             )
-        model = fit(name, train, c=c)
-        scored = macro_metrics(
-            model.transform(folded.filter(F.col("fold") == fold)), "target", "prediction", digits=6
-        ).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "f1_macro")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        return Fold(train, balanced, folded.filter(F.col("fold") == fold))
+
+    return _side_by_side(part, range(folds))
+
+
+def fold_scores(name: str, parts: Sequence[Fold], c: float = 1.0, **settings) -> DataFrame:
+    """Macro F1 of a model per fold as (model, fold, f1_macro); text models learn from the rows as they are."""
+
+    def score(numbered: tuple[int, Fold]) -> DataFrame:
+        number, part = numbered
+        model = fit(name, part.train if name == TFIDF_LR else part.balanced, c=c, **settings)
+        return macro_metrics(model.transform(part.held), "target", "prediction", digits=6).select(
+            F.lit(name).alias("model"), F.lit(number).alias("fold"), "f1_macro"
+        )
+
+    return reduce(DataFrame.unionByName, _side_by_side(score, list(enumerate(parts))))
+
+
+def cross_validate(
+    rows: DataFrame,
+    name: str,
+    key: str,
+    folds: int = 5,
+    oversample: str = "inside",
+    c: float = 1.0,
+    **settings,
+) -> DataFrame:
+    """Macro F1 per fold as (model, fold, f1_macro); see folds_of."""
+    return fold_scores(name, folds_of(rows, key, folds, oversample), c, **settings)
+
+
+def cross_validate_models(
+    data: Prepared, names: Sequence[str] = MODELS, key: str = "topic_id", folds: int = 5
+) -> DataFrame:
+    """(model, cv_f1_macro_mean, cv_f1_macro_std) on the training rows, the majority baseline left out.
+
+    All models see the same folds, and none of them rows made from its held-out ones.
+    """
+    parts = folds_of(data.train, key, folds)
+    scores = [fold_scores(name, parts) for name in names if name != MAJORITY]
+    return cv_summary(reduce(DataFrame.unionByName, scores))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -294,6 +352,28 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def search(
+    data: Prepared, name: str, key: str = "topic_id", folds: int = 5, grid: Sequence[Mapping] | None = None
+) -> DataFrame:
+    """Cross-validated F1 of a model for each of its settings, best first, of equals in the order of the grid.
+
+    (place, settings as JSON, model, cv_f1_macro_mean, cv_f1_macro_std). Folds are filled up
+    once and read by all settings.
+    """
+    grid = GRIDS[name] if grid is None else list(grid)
+    parts = folds_of(data.train, key, folds)
+    tried = [
+        cv_summary(fold_scores(name, parts, **settings)).select(
+            F.lit(i).alias("i"), F.lit(json.dumps(settings)).alias("settings"), "*"
+        )
+        for i, settings in enumerate(grid)
+    ]
+    # one row per setting
+    order = Window.orderBy(F.col("cv_f1_macro_mean").desc(), "i")
+    ranked = reduce(DataFrame.unionByName, tried).withColumn("place", F.row_number().over(order))
+    return ranked.select("place", "settings", "model", "cv_f1_macro_mean", "cv_f1_macro_std").orderBy("place")
+
+
 def grid_search(
     rows: DataFrame, name: str, key: str, penalties: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 5
 ) -> DataFrame:

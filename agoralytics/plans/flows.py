@@ -238,9 +238,10 @@ def model_threads(
     user_activity: DataFrame,
     names: Sequence[str] = models.MODELS,
     smallest: int = MIN_LABELLED_THREADS,
+    folds: int | None = None,
 ) -> ModelReport:
     """Trains the models, compares them on validation rows, and reports the best
-    on the test rows."""
+    on the test rows. With `folds`, the summary has cross-validated scores too."""
     table = cut_lineage(table)
     if table.count() < smallest:
         raise ValueError(f"fewer than {smallest} labelled threads")
@@ -261,7 +262,9 @@ def model_threads(
     return ModelReport(
         validation=validation,
         test=test,
-        summary=models.results_summary(validation, test),
+        summary=models.results_summary(
+            validation, test, models.cross_validate_models(data, names, folds=folds) if folds else None
+        ),
         best=best,
         confusion=confusion_matrix(predictions, [0.0, 1.0], "y_true", "y_pred"),
         importance=importance,

@@ -129,3 +129,19 @@ def test_models_learn(spark):
     assert shares.head()["feature"] == "feat_a"
     cv = models.cv_summary(models.cross_validate(prepared.train, models.LOGISTIC, "topic_id", 3))
     assert cv.head()["cv_f1_macro_mean"] > 0.7
+
+    names = [models.MAJORITY, models.TFIDF_LR, models.LOGISTIC, models.SVM]
+    folds = models.cross_validate_models(prepared, names, folds=3)
+    found = {r["model"]: r for r in folds.collect()}
+    assert set(found) == set(names[1:]) and found[models.TFIDF_LR]["cv_f1_macro_mean"] == 1.0
+    # the same folds as one model at a time
+    assert found[models.LOGISTIC] == cv.head()
+    test = models.evaluate(trained, prepared.test, "test")
+    summary = {r["model"]: r for r in models.results_summary(validation, test, folds).collect()}
+    assert set(summary) == set(trained) and summary[models.MAJORITY]["cv_f1_macro_mean"] is None
+    assert summary[models.SVM]["cv_f1_macro_std"] == found[models.SVM]["cv_f1_macro_std"]
+    searched = models.search(prepared, models.LOGISTIC, folds=3, grid=[{"c": 1e-6}, {"c": 1.0}]).collect()
+    assert [r["place"] for r in searched] == [1, 2]
+    assert {r["settings"]: r["cv_f1_macro_mean"] for r in searched}['{"c": 1.0}'] == found[models.LOGISTIC]["cv_f1_macro_mean"]
+    forest = models.search(prepared, models.FOREST, folds=2, grid=[{"maxDepth": 2, "numTrees": 5}]).head()
+    assert forest["model"] == models.FOREST and forest["cv_f1_macro_mean"] > 0.7
