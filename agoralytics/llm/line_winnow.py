@@ -151,21 +151,21 @@ ORACLE = """
         SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS i FROM cut
     ), solid AS (
         SELECT doc_id, i, trim(raw) AS s,
-            length(trim(raw)) >= 300 OR length(trim(raw)) - length(replace(trim(raw), ' ', '')) >= 39 AS alone,
+            length(trim(raw)) >= 300 OR length(trim(raw)) - length(replace(trim(raw), ' ', '')) >= 39 AS single,
             length(trim(raw)) AS n, length(trim(raw)) - length(replace(trim(raw), ' ', '')) + 1 AS w
         FROM line WHERE length(trim(raw)) > 0
     ), near AS (
         SELECT *, lag(s, 1) OVER o AS b1, lag(s, 2) OVER o AS b2, lag(i, 1) OVER o AS j1, lag(i, 2) OVER o AS j2,
             lead(s, 1) OVER o AS s1, lead(s, 2) OVER o AS s2, lead(s, 3) OVER o AS s3, lead(s, 4) OVER o AS s4,
             lead(i, 1) OVER o AS i1, lead(i, 2) OVER o AS i2, lead(i, 3) OVER o AS i3, lead(i, 4) OVER o AS i4,
-            n + lead(n, 1) OVER o >= 300 OR w + lead(w, 1) OVER o >= 40 AS both
+            n + lead(n, 1) OVER o >= 300 OR w + lead(w, 1) OVER o >= 40 AS paired
         FROM solid WINDOW o AS (PARTITION BY doc_id ORDER BY i)
     ), win AS (
-        SELECT doc_id, i AS first, CASE WHEN alone THEN i WHEN both THEN i1 ELSE i2 END AS last,
-            CASE WHEN alone THEN s WHEN both THEN s || chr(10) || s1 ELSE s || chr(10) || s1 || chr(10) || s2 END AS key,
+        SELECT doc_id, i AS first, CASE WHEN single THEN i WHEN paired THEN i1 ELSE i2 END AS last,
+            CASE WHEN single THEN s WHEN paired THEN s || chr(10) || s1 ELSE s || chr(10) || s1 || chr(10) || s2 END AS key,
             b1, b2, j1, j2,
-            CASE WHEN alone THEN s1 WHEN both THEN s2 ELSE s3 END AS a1, CASE WHEN alone THEN s2 WHEN both THEN s3 ELSE s4 END AS a2,
-            CASE WHEN alone THEN i1 WHEN both THEN i2 ELSE i3 END AS k1, CASE WHEN alone THEN i2 WHEN both THEN i3 ELSE i4 END AS k2
+            CASE WHEN single THEN s1 WHEN paired THEN s2 ELSE s3 END AS a1, CASE WHEN single THEN s2 WHEN paired THEN s3 ELSE s4 END AS a2,
+            CASE WHEN single THEN i1 WHEN paired THEN i2 ELSE i3 END AS k1, CASE WHEN single THEN i2 WHEN paired THEN i3 ELSE i4 END AS k2
         FROM near
     ), ranked AS (
         SELECT *, row_number() OVER o AS k, first_value(b1) OVER o AS hb1, first_value(b2) OVER o AS hb2,
