@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from agoralytics.session import cut_lineage
 
-__all__ = ["cut_lineage", "table", "texts_of", "chunks", "byte_view", "mix", "word_hashes", "shingles"]
+__all__ = ["SMALL", "cut_lineage", "table", "texts_of", "chunks", "byte_view", "mix", "word_hashes", "shingles"]
 
 #: Bytes of text that the numpy code takes at once; one longer text is taken alone.
 CHUNK = 1 << 21
+#: The same for code that holds many 64-bit arrays with an entry per byte.
+SMALL = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,14 +29,14 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch between rows so that a piece holds about CHUNK bytes."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch between rows so that a piece holds about `most` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -68,7 +70,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE to the 0..n-1, and the same of its inverse."""
     if len(_powers.get("up", ())) < n:
-        size = max(CHUNK + (CHUNK >> 1), n)
+        size = max(SMALL + (SMALL >> 1), n + (n >> 2))
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             out = np.full(size, base, np.uint64)
             out[0] = 1

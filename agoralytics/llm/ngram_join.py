@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.llm import bit_filter
-from agoralytics.llm.common import chunks, cut_lineage, mix, shingles, texts_of, word_hashes
+from agoralytics.llm.common import SMALL, chunks, cut_lineage, mix, shingles, texts_of, word_hashes
 from agoralytics.llm.components import components
 
 #: Classes and n-grams in one block of a large component.
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=SMALL):
                 yield sign(part)
 
     return texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
@@ -120,7 +120,7 @@ def _compare(threshold: float, width: int):
         for _, part in unit.groupby("label", sort=False):
             part = part.drop_duplicates("id").sort_values("id", ignore_index=True)  # rows may repeat
             sets = []
-            for batch in chunks(pa.RecordBatch.from_arrays([pa.array(part["text"], pa.string())], ["text"])):
+            for batch in chunks(pa.RecordBatch.from_arrays([pa.array(part["text"], pa.string())], ["text"]), most=SMALL):
                 grams, first = shingles(*word_hashes(batch.column("text")), width)
                 sets += [np.unique(grams[first[i] : first[i + 1]]) for i in range(batch.num_rows)]
             block, one = part["block"].to_numpy(), part["low_block"].iloc[0] == part["high_block"].iloc[0]

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agoralytics.llm.common import chunks, texts_of
+from agoralytics.llm.common import SMALL, chunks, texts_of
 from agoralytics.llm.word_table import WordTable, spread
 
 #: Fixed value: the sign that stands for a space in a vocabulary.
 MARK = "▁"
 _WORD = re.compile(r" *[^ ]+| +")
 _NONE = np.iinfo(np.int32).max
+#: Characters of the words that a worker remembers with their ids: about 100 MB.
+HELD = 4_000_000
 
 
 class PieceModel:
@@ -187,7 +189,7 @@ _models: dict[str, tuple[PieceModel, WordTable]] = {}
 def _loaded(path: str) -> tuple[PieceModel, WordTable]:
     if path not in _models:
         model = PieceModel(path)
-        _models[path] = model, WordTable(model.encode_words)
+        _models[path] = model, WordTable(model.encode_words, HELD)
     return _models[path]
 
 
@@ -209,7 +211,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(path)[0]
-        for batch in (part for whole in batches for part in chunks(whole)):
+        for batch in (part for whole in batches for part in chunks(whole, most=SMALL)):
             ids, lengths = encode_batch(batch.column("text").to_pylist(), path)
             ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.llm import bit_filter
-from agoralytics.llm.common import chunks, cut_lineage, mix, texts_of, word_hashes
+from agoralytics.llm.common import SMALL, chunks, cut_lineage, mix, texts_of, word_hashes
 
 #: 1 looks at a word, 0 ignores it. Wherever a fifth of 8 to 20 words in a row is
 #: substituted at most, one of them looks at equal words only (the tests try every placement).
@@ -56,7 +56,7 @@ def test_seeds(benchmark: DataFrame, window: int) -> DataFrame:
     before, width = window - LEAST, 2 * window - LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole)):
+        for batch in (part for whole in batches for part in chunks(whole, most=SMALL)):
             words, begins = word_hashes(batch.column("text"))
             counts = np.diff(begins)
             item = np.repeat(np.arange(len(counts)), counts)
@@ -83,7 +83,7 @@ def training_seeds(docs: DataFrame, held: bytes, window: int, short: list[int])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in (part for whole in batches for part in chunks(whole)):
+        for batch in (part for whole in batches for part in chunks(whole, most=SMALL)):
             words, begins = word_hashes(batch.column("text"))
             for seeds, at in _seeds(words, begins, short):
                 held_ones = bit_filter.hit(bits, seeds)
