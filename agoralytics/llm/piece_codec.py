@@ -210,12 +210,13 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(path)[0]
+        model, words = _loaded(path)
         for batch in (part for whole in batches for part in chunks(whole, most=SMALL)):
             ids, lengths = encode_batch(batch.column("text").to_pylist(), path)
             ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, model.decode(ids, lengths)], ["doc_id", "ids", "decoded"])
+        words.forget()  # the worker may go on with another operator
 
     return texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string"

@@ -19,9 +19,10 @@ class WordTable:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 12_000_000):
         self._encode, self._most = encode, most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Gives up all words and their room."""
         self._code: dict[str, int] = {}
         self._held = self._used = 0
         self._ids, self._starts, self._lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -33,7 +34,7 @@ class WordTable:
     def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids held, where in them the ids of each word begin, and how many it has."""
         if self._held > self._most:
-            self._forget()
+            self.forget()
         codes = np.fromiter(map(self._code.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(codes < 0).tolist()
         if unknown:
