@@ -9,10 +9,12 @@ words of the texts first, and each text is scanned with its own names.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from agoralytics.functions import text as tx
 
 #: Names up to which the list is sent to every task, as it is.
 BROADCAST_NAMES = 200_000
+#: Bytes of text that are scanned at once; one longer text is taken alone.
+CHUNK = 1 << 18
 
 ENTITIES = "array<struct<type:string,start:int,end:int,text:string>>"
 FOUND = f"struct<entities:{ENTITIES},gaps:array<string>,numbers:array<int>>"
@@ -147,9 +151,28 @@ def _arrays(texts: pa.Array, found: Iterable[list[tuple[str, int, int]] | None])
     )
 
 
+def chunked(scan: Callable[..., pa.Array], texts: pa.Array, *others: pa.Array) -> pa.Array:
+    """The scan of a batch, a few texts at a time: what Python holds does not grow with the batch."""
+
+    def parts() -> Iterator[pa.Array]:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+            yield scan(*(a.slice(start, stop - start) for a in (texts, *others)))
+            start = stop
+
+    return pa.concat_arrays(list(parts())) if len(texts) else scan(texts, *others)
+
+
 def once(scan: Callable[..., pa.Array], *columns: str) -> Column:
     """The scan of some columns; called anything but deterministic, a filter on what it finds doesn't run it a second time."""
-    return F.arrow_udf(scan, FOUND).asNondeterministic()(*map(F.col, columns))
+
+    def scan_batch(*arrays: pa.Array) -> pa.Array:
+        return chunked(scan, *arrays)
+
+    return F.arrow_udf(scan_batch, FOUND).asNondeterministic()(*map(F.col, columns))
 
 
 def _scanner(trie: Callable[[], NameTrie]):

@@ -14,13 +14,12 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions.values import seeded_hash
-from agoralytics.operators.names import NameTrie, _arrays, merged, once
+from agoralytics.operators.names import NameTrie, _arrays, merged, once, own_names
 from agoralytics.session import cut_lineage
 
 #: Texts that it learns from at most (drawn by a hash of their key), parts they are cut into, and rounds over them.
@@ -183,12 +182,12 @@ class Tagger:
         return texts.withColumn(name, once(scan, column, spans))
 
 
-def _examples(texts: Sequence[str], names: Sequence[tuple[str, str]], types: Sequence[str]):
-    """Batches (feature numbers, lengths, labels) of the sentences of texts, labelled by the names."""
-    trie, number = NameTrie(names), {t: i for i, t in enumerate(types)}
+def _examples(texts: Sequence[tuple[str, Sequence[tuple[str, str]]]], types: Sequence[str]):
+    """Batches (feature numbers, lengths, labels) of the sentences of texts, each labelled by its own names."""
+    number = {t: i for i, t in enumerate(types)}
     rows = []
-    for text in texts:
-        found = trie.scan(text, ())
+    for text, names in texts:
+        found = NameTrie(names).scan(text, ())
         k = 0
         for places in sentences(text):
             labels = []
@@ -213,15 +212,19 @@ def train(
     """Learns from texts labelled by the list (term, type).
 
     At most `most` texts with a word in them are drawn, by a hash of the key. The list should be that of the
-    names in these texts: what it misses counts as no name. It is collected, like the list of a search, so it is
-    to be of moderate size. No texts, or no names, give a tagger that finds nothing.
+    names in these texts: what it misses counts as no name. It may be of any size: it is joined to the runs of words
+    of the drawn texts, and a task gets the names of its own texts. No texts, or no names, give a tagger that finds
+    nothing.
     """
-    names = [(r.term, r.type) for r in gazetteer.where("term is not null and type is not null").select("term", "type").collect()]
-    types = tuple(sorted({t for _, t in names})) or ("NAME",)
+    listed = gazetteer.where("term is not null and type is not null").select("term", "type")
+    types = tuple(sorted(r.type for r in listed.select("type").distinct().collect())) or ("NAME",)  # one per label
     kinds = len(labels_of(types))
     order = [seeded_hash(key, seed), F.col(column)]
     drawn = texts.select(key, column).where(F.col(column).rlike(r"\S")).orderBy(*order).limit(most)
-    rows = cut_lineage(drawn.select(column, F.pmod(F.hash(seeded_hash(key, seed + 1)), F.lit(parts)).alias("part")))
+    part = F.pmod(F.hash(seeded_hash(key, seed + 1)), F.lit(parts)).alias("part")
+    # Keys may repeat; the numbers of the drawn rows don't.
+    rows = cut_lineage(drawn.select(F.monotonically_increasing_id().alias("_id"), F.col(column).alias("text"), part))
+    rows = cut_lineage(rows.join(own_names(rows, listed, "_id", "text"), "_id", "left").select("text", "part", "_own"))
     weights, steps = np.zeros((FEATURES, kinds), np.float32), np.zeros((kinds + 1, kinds), np.float32)
     spark = texts.sparkSession
     total_w, total_s = np.zeros((FEATURES, kinds), np.float64), np.zeros((kinds + 1, kinds), np.float64)
@@ -229,15 +232,15 @@ def train(
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((weights, steps))
 
-        def learn(part: pd.DataFrame) -> pd.DataFrame:
+        def learn(part: pa.Table) -> pa.Table:
             w, s = shared.value
-            own = sorted(part[column])  # the same order wherever the rows come from
-            done = _learn(w.copy(), s.copy(), list(_examples(own, names, types)))
-            return pd.DataFrame({"n": [len(own)], **{f"a{i}": [x.astype("<f4").tobytes()] for i, x in enumerate(done)}})
+            own = sorted((r["text"], sorted((n["term"], n["type"]) for n in r["_own"] or ())) for r in part.to_pylist())  # the same order wherever the rows come from
+            done = _learn(w.copy(), s.copy(), list(_examples(own, types)))
+            return pa.table({"n": [len(own)], **{f"a{i}": pa.array([x.astype("<f4").tobytes()], pa.binary()) for i, x in enumerate(done)}})
 
         schema = "n long, a0 binary, a1 binary, a2 binary, a3 binary"
         # One row of fixed size per part; more partitions than parts, so that few parts share a task.
-        got = rows.repartition(4 * parts, "part").groupBy("part").applyInPandas(learn, schema).collect()
+        got = rows.repartition(4 * parts, "part").groupBy("part").applyInArrow(learn, schema).collect()
         if not got:
             break
         share = np.array([r.n for r in got], np.float64) / sum(r.n for r in got)

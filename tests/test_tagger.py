@@ -83,3 +83,38 @@ def test_scores(spark):
     truth = spark.createDataFrame([(1, "A", 0, 2), (2, "A", 0, 1)], "id long, type string, start int, end int")
     rows = {r.type: tuple(r)[1:4] for r in tagger.scores(found, truth, "id").collect()}
     assert rows == {"A": (1, 2, 1), "B": (1, 0, 0), "all": (2, 2, 1)}
+
+
+def test_a_list_of_any_size_stays_out_of_the_driver(spark, rng, monkeypatch):
+    from pyspark.sql import functions as F
+
+    known, _ = texts_of(spark, rng, FIRST[:4], PLACE[:3], 40)
+    listed = [(f"{a} {b}", "PERSON") for a in FIRST[:4] for b in FIRST[:4]] + [(p, "GPE") for p in PLACE[:3]]
+    small = spark.createDataFrame(listed, "term string, type string")
+    others = spark.range(5000).select(F.concat(F.lit("zz"), F.col("id").cast("string")).alias("term"), F.lit("GPE").alias("type"))
+    collect, seen = type(small).collect, []
+    monkeypatch.setattr(type(small), "collect", lambda self: seen.append(rows := collect(self)) or rows)
+    model = tagger.train(known, small.unionByName(others), "id", "t", parts=2, rounds=2)
+    assert max(map(len, seen)) < 100
+    monkeypatch.undo()
+    assert np.array_equal(model.weights, tagger.train(known, small, "id", "t", parts=2, rounds=2).weights)
+    assert model.weights.any()
+
+
+def test_python_holds_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from agoralytics.operators import names
+
+    sizes, text = [], "gisteren sprak Anna met Bert. " * 100
+    trie = names.NameTrie([("Anna", "PERSON")])
+
+    def scan(texts, spans):
+        sizes.append(len(texts))
+        return names._scanner(lambda: trie)(texts, spans)
+
+    texts = pa.array([text] * 300 + [None, ""] + [text * 200])
+    spans = pa.array([[]] * len(texts), pa.list_(pa.struct([])))
+    found = names.chunked(scan, texts, spans)
+    assert max(sizes) * len(text) <= names.CHUNK and len(found) == len(texts)
+    assert found.to_pylist() == names._scanner(lambda: trie)(texts, spans).to_pylist()
