@@ -59,8 +59,8 @@ def test_words_are_looked_up_in_place(spark):
         "term string, is_prefix boolean, cat_ids array<int>",
     )
     names = {1: "a", 2: "b", 3: "c"}
-    here = lexicon.lexicon_scores(texts, entries, names, "id", "t")
-    joined = lexicon.lexicon_scores(texts, entries, names, "id", "t", 0)
+    here = lexicon.lexicon_scores(texts, entries, names, "id", "t", in_place=True)
+    joined = lexicon.lexicon_scores(texts, entries, names, "id", "t", 0, True)
     assert "Generate" not in plan_of(here) and "Generate" in plan_of(joined)
     assert sorted(map(str, here.collect())) == sorted(map(str, joined.collect()))
 
