@@ -34,6 +34,33 @@ def test_texts_fetched_last_give_the_same_threads(spark, monkeypatch):
     assert all("message_text" not in df.columns for df in written[1:])
 
 
+def test_first_flow_masks_each_text_once(spark, monkeypatch):
+    # a document that comes twice, a blank one, one that is missing; a row without any value; a superuser, a moderator
+    docs = spark.createDataFrame(
+        [(1, "wow... mail a@b.nl of <b>Jan</b>"), (2, " "), (3, None), (4, "een twee"), (4, "see http://x.y/z jan"), (None, "x")],
+        "doc_id long, message_text string",
+    )
+    messages = spark.createDataFrame(
+        [(i, i // 5 % 4, i % 7 if i % 6 else None, f"2020-01-{1 + i % 9:02d}", i % 7 if i % 11 else None) for i in range(60)]
+        + [(None, None, None, None, 2), (None, None, None, None, 4)],
+        "message_id long, topic_id long, poster_id long, post_date string, doc_id long",
+    )
+    topics = spark.createDataFrame([(0, 1, "t"), (1, 1, "t"), (2, 2, "Jan"), (3, 1, "t")], "topic_id long, group_id long, name string")
+    groups = spark.createDataFrame([(1, 2, "g"), (2, 3, "h")], "group_id long, account_id long, group_name string")
+    names = spark.createDataFrame([("jan", "PERSON")], "term string, type string")
+    given = (spark.createDataFrame([(3,)], "poster_id long"), names)
+    early = flows.preprocess(flows.ForumTables(messages.join(docs, "doc_id").drop("doc_id"), topics, groups), *given, min_words=0, accounts=(2,))
+    written = []
+    cut = flows.cut_lineage
+    monkeypatch.setattr(flows, "cut_lineage", lambda df: written.append(df) or cut(df))
+    late = flows.preprocess(flows.ForumTables(messages, topics, groups), *given, min_words=0, accounts=(2,), texts=docs)
+    assert [df.columns for df in written if "message_text" in df.columns] == [["doc_id", "message_text", "ellipsis_count"]]
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert early.community.columns == late.community.columns and early.community.count() > 10
+    for name in ("messages", "community", "pseudonyms", "entities", "review", "mask_map"):
+        assert rows(getattr(early, name)) == rows(getattr(late, name)), name
+
+
 def test_parts_of_a_text_table_grow_with_its_files(spark, tmp_path):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("text"))
     rows.coalesce(1).write.option("parquet.block.size", 65536).option("compression", "none").parquet(f"{tmp_path}/documents.parquet")
