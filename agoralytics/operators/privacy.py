@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoralytics.functions import text as tx
-from agoralytics.operators.names import ENTITIES, find_names
+from agoralytics.operators.names import ENTITIES, chunked, find_names
 from agoralytics.operators.ordering import position
 from agoralytics.operators.tagger import Tagger
 from agoralytics.session import cut_lineage
 
 # Fixed value: the pattern of mail addresses; only its word edges are spelled out,
 # because `\b` of Java knows ASCII only.
-EMAIL = rf"{tx.WORD_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{tx.WORD_EDGE}"
+# The first one is tested after its character, and what stands before `@` is never given back.
+EMAIL_CHARACTER = "[A-Za-z0-9._%+-]"
+EMAIL_START = rf"(?:[A-Za-z0-9_](?<![{tx.WORD}].)|[.%+-](?<=[{tx.WORD}].))"
+EMAIL = rf"{EMAIL_START}{EMAIL_CHARACTER}*+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{tx.WORD_EDGE}"
 
 # The characters that a link may hold, as one class: repeated alternatives overflow
 # the stack of Java's matcher on a link of 20,000 characters.
@@ -27,6 +32,9 @@ PLACEHOLDER = r"\[ENTITY_[A-Za-z]+_[0-9]+\]"
 
 PATTERNS = {"URL": URL, "EMAIL": EMAIL, "LITERAL": PLACEHOLDER}
 
+# What every hit of a pattern holds; texts without it are not searched for the pattern.
+HOLDS = {URL: "://", EMAIL: "@", PLACEHOLDER: "[ENTITY_"}
+
 # ids -------------------------------------------------------------------------
 
 
@@ -61,10 +69,23 @@ def pseudonymize(df: DataFrame, names: DataFrame, column: str = "poster_id") ->
 
 
 def _by_form(texts: DataFrame, column: str, patterns: Mapping[str, str]) -> DataFrame:
-    """Adds `entities` and `_gaps`, the text between them, for what patterns can tell."""
-    pattern = F.lit("|".join(f"(?:{p})" for p in patterns.values()))
-    found = texts.withColumn("_hits", F.regexp_extract_all(column, pattern, F.lit(0))).withColumn(
-        "_gaps", F.split(F.col(column), pattern, -1)
+    """Adds `entities` and `_gaps`, the text between them, for what patterns can tell.
+
+    The search for mail addresses takes most of the time, so a text is searched for all patterns if it holds an `@`,
+    else for the others if it holds what they need; it is cut at the hits only if there are any.
+    """
+    every = "|".join(f"(?:{p})" for p in patterns.values())
+    plain = [p for p in patterns.values() if p != EMAIL]
+    text = F.col(column)
+    searches = [(EMAIL, every)] if EMAIL in patterns.values() and plain else []
+    searches += [(p, "|".join(f"(?:{q})" for q in plain) if plain else every) for p in plain or [EMAIL]]
+    hits = None
+    for needed, pattern in searches:
+        holds = text.contains(HOLDS[needed]) if needed in HOLDS else F.lit(True)
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        hits = F.when(holds, found) if hits is None else hits.when(holds, found)
+    found = texts.withColumn("_hits", hits.otherwise(F.array().cast("array<string>"))).withColumn(
+        "_gaps", F.when(F.size("_hits") > 0, F.split(text, F.lit(every), -1)).otherwise(F.array(text))
     )
     kind = lambda hit: F.coalesce(
         *[F.when(hit.rlike(rf"^(?:{p})\z"), F.lit(name)) for name, p in _whole_patterns(patterns).items()]
@@ -138,7 +159,7 @@ def with_entities(
 
 def _whole_patterns(patterns: Mapping[str, str]) -> dict[str, str]:
     """The patterns for testing a found text, whose surroundings are gone."""
-    return {name: p.replace(tx.WORD_EDGE, "") for name, p in patterns.items()}
+    return {name: p.replace(EMAIL_START, EMAIL_CHARACTER).replace(tx.WORD_EDGE, "") for name, p in patterns.items()}
 
 
 def extract_entities(
@@ -192,13 +213,28 @@ def mask_text(
     )
 
 
+_PLACEHOLDER = re.compile(PLACEHOLDER)
+
+
+def _restored(texts: pa.Array, maps: pa.Array) -> pa.Array:
+    out = []
+    for text, held in zip(texts.to_pylist(), maps.to_pylist(), strict=True):
+        back = {mark: entity for mark, entity in held or () if entity is not None}
+        out.append(_PLACEHOLDER.sub(lambda m: back.get(m[0], m[0]), text) if text and back else text)  # noqa: B023
+    return pa.array(out, pa.string())
+
+
 def unmask(masked: Column | str, mask_map: Column | str) -> Column:
-    """The text before masking: each placeholder is looked up once, from left to right."""
-    text = F.col(masked) if isinstance(masked, str) else masked
-    held = F.col(mask_map) if isinstance(mask_map, str) else mask_map
-    pieces = F.regexp_extract_all(text, F.lit(rf"{PLACEHOLDER}|[^\[]+|\["), F.lit(0))
-    restored = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(held, p), p))
-    return F.array_join(restored, "")
+    """The text before masking: each placeholder is looked up once, from left to right.
+
+    A text's map is read once, whatever the number of its placeholders.
+    """
+
+    def restore(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        return chunked(_restored, texts, maps)
+
+    columns = [F.col(c) if isinstance(c, str) else c for c in (masked, mask_map)]
+    return F.arrow_udf(restore, "string")(*columns)
 
 
 def entity_review(masked: DataFrame, key: str, column: str) -> DataFrame:

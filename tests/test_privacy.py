@@ -122,3 +122,39 @@ def test_names_are_scanned_once(spark):
     gazetteer = spark.createDataFrame([("jan", "PERSON")], "term string, type string")
     plan = privacy.extract_entities(texts, "id", "t", gazetteer, {})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+OLD_EMAIL = rf"{privacy.tx.WORD_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{privacy.tx.WORD_EDGE}"
+ODD = [
+    "x.y@z.nl", ".b@c.nl", "a.b@c.nl", "é.b@c.nl", "éa@b.nl a@b.nl", "-a@b.nl", "é-a@b.nl", "a@b@c.nl", "a@b.nlé", "a@b.n|x", "a@b.nl|", "_a@b.nl", "²a@b.nl",
+    "a@b", "a@b.c", "%%a@b.nl", "a%+@b.nl", "😀a@b.nl", "😀.a@b.nl", "𝒜.a@b.nl", "http://x.y/a@b.nl", "mailto:a@b.nl,c@d.org", "a..@b.nl", "x\n.a@b.nl", "@b.nl", "a @b.nl",
+    "[ENTITY_EMAIL_1] a@b.nl", "a[ENTITY_URL_2]", "see http://é", "http:/x http://x", "", None, " ", "no hits here", "a@b.nl" * 300, "a." * 2000 + "@b.nl",
+]
+
+
+def test_mail_addresses_are_found_as_before(spark):
+    texts = spark.createDataFrame(list(enumerate(ODD)), "id long, t string")
+    new = {**privacy.PATTERNS}
+    old = {"URL": privacy.URL, "EMAIL": OLD_EMAIL, "LITERAL": privacy.PLACEHOLDER}
+    rows = lambda patterns: sorted(map(str, privacy.mask_text(texts, "id", "t", None, patterns).collect()))
+    for names in (["URL", "EMAIL", "LITERAL"], ["EMAIL"], ["URL", "LITERAL"], ["LITERAL", "EMAIL"]):
+        assert rows({n: new[n] for n in names}) == rows({n: old[n] for n in names})
+    assert rows({}) == rows({}) and rows({**new, "TAG": r"#\w+"}) == rows({**old, "TAG": r"#\w+"})
+
+
+def test_texts_without_an_at_sign_are_not_searched_for_addresses(spark):
+    texts = spark.createDataFrame([("x",)], "t string")
+    plan = privacy.extract_entities(texts, "t", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(t" in plan and "size(_hits" in plan
+
+
+def test_a_map_is_read_once_per_text(spark):
+    """Its making was put into the look-up of every piece of the text."""
+    texts = spark.createDataFrame([(1, "a@b.nl [ENTITY_EMAIL_1] c"), (2, None), (3, "")], "id long, t string")
+    back = privacy.mask_text(texts, "id", "t").select("id", privacy.unmask("masked", "mask_map").alias("back"))
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_element_at" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, back.collect())) == [(1, "a@b.nl [ENTITY_EMAIL_1] c"), (2, None), (3, "")]
+    odd = spark.sql("SELECT '[ENTITY_A_1][ENTITY_A_2]x[[ENTITY_A_3]' AS m, map('[ENTITY_A_1]', 'one', '[ENTITY_A_2]', NULL, '[ENTITY_A_3]', '[ENTITY_A_1]') AS k")
+    rows = odd.select(privacy.unmask("m", "k"), privacy.unmask("m", privacy.F.lit(None).cast("map<string,string>"))).head()
+    assert tuple(rows) == ("one[ENTITY_A_2]x[[ENTITY_A_1]", "[ENTITY_A_1][ENTITY_A_2]x[[ENTITY_A_3]")
