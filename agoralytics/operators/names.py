@@ -30,6 +30,9 @@ FOUND = f"struct<entities:{ENTITIES},gaps:array<string>,numbers:array<int>>"
 
 _PIECE = re.compile(r"\w+|\W+")
 _SPACE = re.compile(r"\s+")
+_NEXT = re.compile(r"(\W++)(\w+)")
+#: First words of names up to which texts are searched for them by one pattern, instead of being read word by word.
+FEW = 64
 
 
 def _lower(text: str) -> str:
@@ -47,10 +50,11 @@ class NameTrie:
     """Names as paths: the first word, then each word with what stands before it.
 
     What stands before the first and after the last word of a name is no part of it; of
-    equal names the first type in alphabetical order counts.
+    equal names the first type in alphabetical order counts. A trie for many texts is worth a
+    pattern of its first words, if they are few.
     """
 
-    def __init__(self, names: Iterable[tuple[str, str]]):
+    def __init__(self, names: Iterable[tuple[str, str]], many_texts: bool = False):
         self.root: dict = {}
         for name, kind in names:
             read = pieces(name)
@@ -61,6 +65,8 @@ class NameTrie:
             for i in words[1:]:
                 node = node.setdefault(_SPACE.sub(" ", read[i - 1]) + read[i], {})
             node[""] = min(kind, node.get("", kind))
+        few = many_texts and 0 < len(self.root) <= FEW
+        self.first = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(self.root)))})\b") if few else None
 
     def longest(self, read: list[str], at: int) -> tuple[int, str] | None:
         """The piece after the longest name that starts at a piece, and the name's type."""
@@ -75,28 +81,52 @@ class NameTrie:
             if node is None:
                 return found
 
+    def longest_in(self, low: str, start: int, end: int) -> tuple[int, str] | None:
+        """The same in a lower-case text, for a name whose first word is given: its end and type."""
+        node, found = self.root[low[start:end]], None
+        while True:
+            if "" in node:
+                found = (end, node[""])
+            after = _NEXT.match(low, end) if len(node) > ("" in node) else None
+            node = node.get(_SPACE.sub(" ", after[1]) + after[2]) if after else None
+            if node is None:
+                return found
+            end = after.end()
+
+    def starts(self, text: str) -> Iterator[tuple[int, Callable[[], tuple[int, str] | None]]]:
+        """Places of first words of names, each with a function that gives the longest name's end and type."""
+        if self.first is not None:
+            low = _lower(text)
+            for m in self.first.finditer(low):
+                yield m.start(), lambda m=m: self.longest_in(low, m.start(), m.end())
+            return
+        read = pieces(text)
+        root = self.root
+        hits = [i for i, piece in enumerate(read) if piece in root]
+        ends = list(accumulate(map(len, read))) if hits else []
+
+        def longest(i: int) -> tuple[int, str] | None:
+            found = self.longest(read, i)
+            return found and (ends[found[0] - 1], found[1])
+
+        for i in hits:
+            yield ends[i] - len(read[i]), lambda i=i: longest(i)
+
     def scan(self, text: str, spans: Sequence[dict]) -> list[tuple[str, int, int]]:
         """(type, start, end) of names and of the given spans, without overlaps.
 
         What starts first wins; at one place a span, then the longest name. Spans come in order.
         """
-        read = pieces(text)
-        root = self.root
-        hits = [i for i, piece in enumerate(read) if piece in root]
-        if not hits:
-            return [(s["type"], s["start"], s["end"]) for s in spans]
-        ends = list(accumulate(map(len, read)))
         out, done, k = [], 0, 0
-        for i in hits:
-            start = ends[i] - len(read[i])
+        for start, longest in self.starts(text):
             while k < len(spans) and spans[k]["start"] <= start:
                 if spans[k]["start"] >= done:
                     out.append((spans[k]["type"], spans[k]["start"], spans[k]["end"]))
                     done = spans[k]["end"]
                 k += 1
-            found = self.longest(read, i) if start >= done else None
+            found = longest() if start >= done else None
             if found:
-                done = ends[found[0] - 1]
+                done = found[0]
                 out.append((found[1], start, done))
         return out + [(s["type"], s["start"], s["end"]) for s in spans[k:] if s["start"] >= done]
 
@@ -246,7 +276,7 @@ def find_names(texts: DataFrame, gazetteer: DataFrame, key: str, column: str, sp
 
     def trie() -> NameTrie:
         if not held:
-            held.append(NameTrie(shared.value))
+            held.append(NameTrie(shared.value, many_texts=True))
         return held[0]
 
     return texts.withColumn(name, once(_scanner(trie), column, spans))

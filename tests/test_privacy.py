@@ -158,3 +158,18 @@ def test_a_map_is_read_once_per_text(spark):
     odd = spark.sql("SELECT '[ENTITY_A_1][ENTITY_A_2]x[[ENTITY_A_3]' AS m, map('[ENTITY_A_1]', 'one', '[ENTITY_A_2]', NULL, '[ENTITY_A_3]', '[ENTITY_A_1]') AS k")
     rows = odd.select(privacy.unmask("m", "k"), privacy.unmask("m", privacy.F.lit(None).cast("map<string,string>"))).head()
     assert tuple(rows) == ("one[ENTITY_A_2]x[[ENTITY_A_1]", "[ENTITY_A_1][ENTITY_A_2]x[[ENTITY_A_3]")
+
+
+def test_few_first_words_are_searched_by_one_pattern():
+    from agoralytics.operators import names
+
+    listed = [("de la", "A"), ("la", "B"), ("la  la", "C"), ("İx", "D"), ("_", "E"), ("o'brien", "F"), ("²", "G"), ("!", "H")]
+    spans = [{"type": "Z", "start": 3, "end": 5}, {"type": "Z", "start": 20, "end": 21}]
+    read, searched = names.NameTrie(listed), names.NameTrie(listed, many_texts=True)
+    assert read.first is None and searched.first is not None
+    assert names.NameTrie([], True).first is None and names.NameTrie([(f"n{i}", "A") for i in range(65)], True).first is None
+    texts = ["de la la", "DE\n la la  LA lala la_", "İx ix x_ _ ² 2", "O'Brien o brien o'brienx la", "de", "la" + " !" * 9000, "", "xde la-la\x1cla de\u200bla"]
+    for text in texts:
+        for given in ((), spans):
+            assert searched.scan(text, given) == read.scan(text, given)
+    assert searched.scan("DE\n la la", ()) == [("A", 0, 6), ("B", 7, 9)]
