@@ -1,9 +1,9 @@
 """A trained tagger for names: it knows words by their form and their neighbours, so it also finds names that no list has.
 
-It is an averaged perceptron over label sequences. The rows it learns from are labelled by
-a list of names, cut into parts, and each part is gone through in a task of its own; after
-every round the weights of all parts are averaged and sent out again. Decoding takes a
-batch of sentences at once, one step per place in a sentence.
+It is an averaged perceptron over label sequences. All rows it learns from are labelled by
+a list of names, cut into parts whose number grows with the texts, and each part is gone through
+in a task of its own; after every round the weights of all parts are averaged, slice by slice, and
+sent out again. Decoding takes a batch of sentences at once, one step per place in a sentence.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from agoralytics.functions.values import seeded_hash
 from agoralytics.operators.names import NameTrie, _arrays, merged, once, own_names
 from agoralytics.session import cut_lineage
 
-#: Texts that it learns from at most (drawn by a hash of their key), parts they are cut into, and rounds over them.
-TEXTS, PARTS, ROUNDS = 4_000, 8, 8
-#: Features are hashed to so many weights per label; sentences longer than LONGEST tokens are cut.
-FEATURES, LONGEST, BATCH = 1 << 16, 60, 64
+#: Parts that the texts are cut into at least, rounds over them, and characters of a part beyond which there are more parts.
+PARTS, ROUNDS, PART_CHARS = 8, 8, 4_000_000
+#: Slices that the weights are averaged in; sentences whose features are made at once.
+SLICES, SENTENCES = 64, 2_048
+#: Features, COLUMNS of them per token, are hashed to so many weights per label; sentences longer than LONGEST tokens are cut.
+FEATURES, COLUMNS, LONGEST, BATCH = 1 << 16, 11, 60, 64
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _END = frozenset(".!?")
@@ -116,10 +118,11 @@ def decode(scores: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.nda
     return out[row, place]
 
 
-def _learn(weights: np.ndarray, steps: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+def _learn(weights: np.ndarray, steps: np.ndarray, rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """One round over a part: weights at its end, and their mean over the round."""
-    mean_w, mean_s = np.zeros_like(weights), np.zeros_like(steps)
+    mean_w, mean_s, count = np.zeros_like(weights), np.zeros_like(steps), 0
     for idx, lengths, gold in rows:
+        count += 1
         guess = decode(weights[idx].sum(axis=1), lengths, steps)
         first = np.cumsum(lengths) - lengths
         wrong = np.flatnonzero(guess != gold)
@@ -130,7 +133,7 @@ def _learn(weights: np.ndarray, steps: np.ndarray, rows: list[tuple[np.ndarray,
             np.add.at(steps, (before, labels), np.float32(sign))
         mean_w += weights
         mean_s += steps
-    return weights, steps, mean_w / max(1, len(rows)), mean_s / max(1, len(rows))
+    return weights, steps, mean_w / max(1, count), mean_s / max(1, count)
 
 
 def _batches(rows: Sequence, size: int = BATCH) -> Iterator[Sequence]:
@@ -183,78 +186,136 @@ class Tagger:
 
 
 def _examples(texts: Sequence[tuple[str, Sequence[tuple[str, str]]]], types: Sequence[str]):
-    """Batches (feature numbers, lengths, labels) of the sentences of texts, each labelled by its own names."""
+    """Feature numbers and labels of all tokens, sentence after sentence, and the lengths of the sentences of texts, each labelled by its own names."""
     number = {t: i for i, t in enumerate(types)}
-    rows = []
+    done: list[tuple[np.ndarray, ...]] = []
+    rows: list[list[str]] = []
+    gold: list[int] = []
+
+    def close() -> None:
+        idx, lengths = features(rows)
+        done.append((idx.astype(np.uint16), np.array(gold, np.uint8 if len(types) < 128 else np.int64), lengths.astype(np.uint8)))
+        rows.clear()
+        gold.clear()
+
     for text, names in texts:
         found = NameTrie(names).scan(text, ())
         k = 0
         for places in sentences(text):
-            labels = []
+            labels: list[int] = []
             for start, end in places:
                 while k < len(found) and found[k][2] <= start:
                     k += 1
                 kind, begun, _ = found[k] if k < len(found) and found[k][1] <= start and end <= found[k][2] else (None, 0, 0)
                 inside = kind is not None and begun != start and bool(labels) and labels[-1] in (2 * number[kind] + 1, 2 * number[kind] + 2)
                 labels.append(0 if kind is None else 2 * number[kind] + (2 if inside else 1))
-            rows.append(([text[a:b] for a, b in places], labels))
-    # In mixed order: sentences that are alike in length are alike in names.
-    order = np.random.default_rng(len(rows)).permutation(len(rows))
-    for part in _batches(order.tolist()):
-        idx, lengths = features([rows[i][0] for i in part])
-        yield idx, lengths, np.array([x for i in part for x in rows[i][1]], np.int64)
+            rows.append([text[a:b] for a, b in places])
+            gold += labels
+            if len(rows) >= SENTENCES:
+                close()
+    if rows or not done:
+        close()
+    return tuple(np.concatenate(a) for a in zip(*done, strict=True))
+
+
+def _mixed(idx: np.ndarray, gold: np.ndarray, lengths: np.ndarray):
+    """Batches (feature numbers, lengths, labels) in mixed order: sentences that are alike in length are alike in names."""
+    lengths = lengths.astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
+    order = np.random.default_rng(len(lengths)).permutation(len(lengths))
+    for part in _batches(order):
+        own = lengths[part]
+        at = np.repeat(begins[part] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        yield idx[at], own, gold[at].astype(np.int64)
 
 
 def train(
     texts: DataFrame, gazetteer: DataFrame, key: str, column: str, seed: int = 42,
-    most: int = TEXTS, parts: int = PARTS, rounds: int = ROUNDS,
+    parts: int = PARTS, rounds: int = ROUNDS,
 ) -> Tagger:
-    """Learns from texts labelled by the list (term, type).
+    """Learns from all texts with a word in them, labelled by the list (term, type).
 
-    At most `most` texts with a word in them are drawn, by a hash of the key. The list should be that of the
-    names in these texts: what it misses counts as no name. It may be of any size: it is joined to the runs of words
-    of the drawn texts, and a task gets the names of its own texts. No texts, or no names, give a tagger that finds
-    nothing.
+    There are `parts` parts, more of them when the texts have over PART_CHARS characters a part: what a task holds does
+    not grow with the table. The list should be that of the names in these texts: what it misses counts as no name. It
+    may be of any size: it is joined to the runs of words of the texts, and a task gets the names of its own texts.
+    No texts, or no names, give a tagger that finds nothing.
     """
     listed = gazetteer.where("term is not null and type is not null").select("term", "type")
     types = tuple(sorted(r.type for r in listed.select("type").distinct().collect())) or ("NAME",)  # one per label
     kinds = len(labels_of(types))
-    order = [seeded_hash(key, seed), F.col(column)]
-    drawn = texts.select(key, column).where(F.col(column).rlike(r"\S")).orderBy(*order).limit(most)
-    part = F.pmod(F.hash(seeded_hash(key, seed + 1)), F.lit(parts)).alias("part")
-    # Keys may repeat; the numbers of the drawn rows don't.
-    rows = cut_lineage(drawn.select(F.monotonically_increasing_id().alias("_id"), F.col(column).alias("text"), part))
-    rows = cut_lineage(rows.join(own_names(rows, listed, "_id", "text"), "_id", "left").select("text", "part", "_own"))
+    read = texts.select(key, column).where(F.col(column).rlike(r"\S"))
+    # Keys may repeat; the numbers of the rows don't.
+    rows = cut_lineage(read.select(F.monotonically_increasing_id().alias("_id"), seeded_hash(key, seed + 1).alias("_hash"), F.col(column).alias("text")))
+    needed = -(-(rows.agg(F.sum(F.length("text").cast("long"))).head()[0] or 0) // PART_CHARS)
+    # Rows of one key stay together only where all parts are small.
+    by = [F.col("_hash")] if needed <= parts else [F.col("_hash"), F.col("text")]
+    parts = max(parts, needed)
+    part = F.pmod(F.hash(*by), F.lit(parts)).alias("part")
+    named = rows.select("_id", "text", part).join(own_names(rows, listed, "_id", "text"), "_id", "left")
+
+    def read_part(part: pa.Table) -> pa.Table:
+        own = sorted((r["text"], sorted((n["term"], n["type"]) for n in r["_own"] or ())) for r in part.to_pylist())  # the same order wherever the rows come from
+        arrays = _examples(own, types)
+        cells = {f"e{i}": pa.array([x.tobytes()], pa.binary()) for i, x in enumerate(arrays)}
+        return pa.table({"part": pa.array([part["part"][0].as_py()], pa.int32()), "n": [len(own)], **cells})
+
+    # One row per part; more partitions than parts, so that few parts share a task. Every round reads them.
+    examples = cut_lineage(
+        named.select("text", "part", "_own").repartition(4 * parts, "part").groupBy("part")
+        .applyInArrow(read_part, "part int, n long, e0 binary, e1 binary, e2 binary")
+    )
+    total = examples.agg(F.sum("n")).head()[0]
     weights, steps = np.zeros((FEATURES, kinds), np.float32), np.zeros((kinds + 1, kinds), np.float32)
-    spark = texts.sparkSession
     total_w, total_s = np.zeros((FEATURES, kinds), np.float64), np.zeros((kinds + 1, kinds), np.float64)
-
+    if total is None:
+        return Tagger(types, total_w.astype(np.float32), total_s.astype(np.float32))
+    spark, kind = texts.sparkSession, np.uint8 if len(types) < 128 else np.int64
+
+    def sliced(done: Sequence[np.ndarray]) -> Iterator[tuple[bytes, ...]]:
+        w, s, mean_w, mean_s = (x.astype("<f4") for x in done)
+        for k in range(SLICES):
+            cut = slice(k * FEATURES // SLICES, (k + 1) * FEATURES // SLICES)
+            yield (w[cut].tobytes(), mean_w[cut].tobytes(), s.tobytes() if not k else b"", mean_s.tobytes() if not k else b"")
+
+    def averaged(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        share = rows["n"].to_numpy().astype(np.float64) / total
+        cells = {"slice": rows["slice"][:1]}
+        for name in ("a0", "a1", "a2", "a3"):
+            mean = sum(p * np.frombuffer(x.as_py(), "<f4") for p, x in zip(share, rows[name], strict=True))
+            cells[name] = pa.array([mean.tobytes()], pa.binary())
+        return pa.table(cells)
+
+    schema = "slice int, a0 binary, a1 binary, a2 binary, a3 binary"
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((weights, steps))
 
-        def learn(part: pa.Table) -> pa.Table:
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, s = shared.value
-            own = sorted((r["text"], sorted((n["term"], n["type"]) for n in r["_own"] or ())) for r in part.to_pylist())  # the same order wherever the rows come from
-            done = _learn(w.copy(), s.copy(), list(_examples(own, types)))
-            return pa.table({"n": [len(own)], **{f"a{i}": pa.array([x.astype("<f4").tobytes()], pa.binary()) for i, x in enumerate(done)}})
-
-        schema = "n long, a0 binary, a1 binary, a2 binary, a3 binary"
-        # One row of fixed size per part; more partitions than parts, so that few parts share a task.
-        got = rows.repartition(4 * parts, "part").groupBy("part").applyInArrow(learn, schema).collect()
-        if not got:
-            break
-        share = np.array([r.n for r in got], np.float64) / sum(r.n for r in got)
-
-        def mean(name: str, shape: tuple[int, int]) -> np.ndarray:
-            return sum(p * np.frombuffer(r[name], "<f4").reshape(shape) for p, r in zip(share, got, strict=True))
-
-        weights, steps = (mean(f"a{i}", x.shape).astype(np.float32) for i, x in enumerate((weights, steps)))
+            for batch in batches:
+                for row in zip(*batch.columns, strict=True):
+                    part, n, *cells = (x.as_py() for x in row)
+                    idx, gold, lengths = (np.frombuffer(c, t) for c, t in zip(cells, (np.uint16, kind, np.uint8), strict=True))
+                    done = _learn(w.copy(), s.copy(), _mixed(idx.reshape(-1, COLUMNS), gold, lengths))
+                    for k, cut in enumerate(sliced(done)):
+                        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "slice": [k], **{f"a{i}": [x] for i, x in enumerate(cut)}}, _LEARNED)
+
+        each = examples.mapInArrow(learn, "part int, n long, " + schema)
+        got = sorted(each.groupBy("slice").applyInArrow(averaged, schema).collect())  # of a fixed size
+        weights, mean_w = (np.concatenate([np.frombuffer(r[i]) for r in got]).reshape(weights.shape) for i in (1, 2))
+        steps, mean_s = (np.frombuffer(got[0][i]).reshape(steps.shape) for i in (3, 4))
+        weights, steps = weights.astype(np.float32), steps.astype(np.float32)
         if turn >= rounds // 2:  # the first rounds swing widely
-            total_w, total_s = total_w + mean("a2", weights.shape), total_s + mean("a3", steps.shape)
+            total_w, total_s = total_w + mean_w, total_s + mean_s
         shared.unpersist()
     return Tagger(types, total_w.astype(np.float32), total_s.astype(np.float32))
 
 
+_LEARNED = pa.schema(
+    [("part", pa.int32()), ("n", pa.int64()), ("slice", pa.int32()), *((f"a{i}", pa.binary()) for i in range(4))]
+)
+
+
 def scores(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     """precision, recall and f1 per type and for all (type `all`) of spans (key, type, start, end) against true ones; rows may repeat."""
     columns = [key, "type", "start", "end"]

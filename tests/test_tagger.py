@@ -118,3 +118,17 @@ def test_python_holds_a_few_texts_at_a_time():
     found = names.chunked(scan, texts, spans)
     assert max(sizes) * len(text) <= names.CHUNK and len(found) == len(texts)
     assert found.to_pylist() == names._scanner(lambda: trie)(texts, spans).to_pylist()
+
+
+def test_it_learns_from_all_texts_in_small_parts(spark, monkeypatch):
+    """More texts than were once drawn; the number of parts grows with them."""
+    texts = [(i, f"toen zei oom {FIRST[i % len(FIRST)]} iets.") for i in range(4_300)]
+    known = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    names = spark.createDataFrame([(f, "PERSON") for f in FIRST], "term string, type string")
+    sizes, frame = [], type(known)
+    learn = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: sizes.append([r.n for r in self.select("n").collect()]) or learn(self, *a, **b))
+    for chars, parts in ((10**9, range(1, 3)), (10_000, range(8, 99))):
+        monkeypatch.setattr(tagger, "PART_CHARS", chars)
+        assert tagger.train(known, names, "id", "t", parts=2, rounds=1).weights.any()
+        assert sum(sizes[-1]) == len(texts) and len(sizes[-1]) in parts
